@@ -25,14 +25,10 @@ from repeatloom.llm import common, vectext
 _FAR, _FAN = 1 << 62, 16
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one token's bytes, by a segment tree of fan-out _FAN (a token of up to _FAN bytes has one inner node)."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
+def merge_ends(piece, ranks: dict) -> list[int]:
+    """Merges piece (bytes or str) by rank, lowest first and leftmost of equals; the end of the symbol that begins at each
+    live position. A segment tree of fan-out _FAN: a token of up to _FAN units has one inner node."""
     n = len(piece)
-    if n == 0:
-        return []
     get = ranks.get
     end = list(range(1, n + 1))  # of the live symbol that begins here
     before = list(range(-1, n))  # the live symbol before
@@ -72,6 +68,15 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     at //= _FAN
                     high[at] = min(low[at * _FAN : at * _FAN + _FAN])
                     low = high
+    return end
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one token's bytes."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n, end = len(piece), merge_ends(piece, ranks)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])

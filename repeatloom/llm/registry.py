@@ -1,9 +1,13 @@
 """Queries and SQL of this subpackage."""
 
-from repeatloom.llm import bpe, sharding
+from repeatloom.llm import bpe, dedup, media, packing, sharding, tokencount
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op2_minimax_shards": sharding.query,
+    "op5_exact_dedup": dedup.query,
+    "op8_token_counts": tokencount.query,
+    "op9_best_fit_packing": packing.query,
+    "op10_media_columns": media.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_dedup": dedup.SQL}
