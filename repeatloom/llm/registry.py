@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage."""
 
-from repeatloom.llm import bpe, dedup, media, packing, sharding, tokencount
+from repeatloom.llm import bpe, dedup, jaccard, media, packing, sharding, tokencount
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op2_minimax_shards": sharding.query,
     "op5_exact_dedup": dedup.query,
+    "op6_ngram_jaccard": jaccard.query,
     "op8_token_counts": tokencount.query,
     "op9_best_fit_packing": packing.query,
     "op10_media_columns": media.query,
