@@ -1,12 +1,14 @@
 """Queries and SQL of this subpackage."""
 
-from repeatloom.llm import bpe, dedup, jaccard, media, packing, sharding, tokencount
+from repeatloom.llm import bpe, dedup, jaccard, language, media, packing, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op2_minimax_shards": sharding.query,
+    "op3_language_id": language.query,
     "op5_exact_dedup": dedup.query,
     "op6_ngram_jaccard": jaccard.query,
+    "op7_toxicity": toxicity.query,
     "op8_token_counts": tokencount.query,
     "op9_best_fit_packing": packing.query,
     "op10_media_columns": media.query,

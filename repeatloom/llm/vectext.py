@@ -53,8 +53,8 @@ class Block:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each token's code points; cps stands in for the block's own (say, lower-cased)."""
+    def hasher(self, cps: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function (starts, ends) -> 64-bit hashes of these spans' code points; cps stands in for the block's own (say, lower-cased)."""
         cps = self.cps if cps is None else cps
         pw, inv = _powers(len(cps) + 1)
         sums = np.zeros(len(cps) + 1, np.uint64)
@@ -62,8 +62,10 @@ class Block:
         h ^= h >> np.uint64(29)
         h *= pw[:-1]
         np.cumsum(h, out=sums[1:])
-        out = (sums[ends] - sums[starts]) * inv[starts]
-        return mix(out + (ends - starts).astype(np.uint64) * _M2)
+        return lambda starts, ends: mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _M2)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None) -> np.ndarray:
+        return self.hasher(cps)(starts, ends)
 
     def offsets(self, starts: np.ndarray) -> np.ndarray:
         """For sorted token starts: each document's first token, and the number of tokens."""
@@ -165,6 +167,23 @@ def split_gpt2(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(out[1:], len(cps))
 
 
+@lru_cache(maxsize=1)
+def lower_table() -> np.ndarray:
+    """Lower case by code point; characters whose lower case is several stay."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x1E944):  # no cased character lies above
+        low = chr(i).lower() if not 0xD800 <= i < 0xE000 else ""
+        if len(low) == 1:
+            table[i] = ord(low)
+    return table
+
+
+def letter_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters, and the lower-cased code points."""
+    starts, ends = spans_of(block, classes()[block.cps] == L)
+    return starts, ends, lower_table()[block.cps]
+
+
 class Memo:
     """Results by token hash, across blocks. compute(words) gives a list of 1-D arrays; lookup() gives an index for each
     distinct hash into starts/lens over the flat values. It empties itself beyond capacity entries, so memory is bounded."""
