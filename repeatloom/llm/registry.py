@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage."""
 
-from repeatloom.llm import bpe, dedup, jaccard, language, media, packing, sharding, tokencount, toxicity
+from repeatloom.llm import bpe, dedup, jaccard, language, media, packing, secretscan, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op2_minimax_shards": sharding.query,
     "op3_language_id": language.query,
+    "op4_secret_scan": secretscan.query,
     "op5_exact_dedup": dedup.query,
     "op6_ngram_jaccard": jaccard.query,
     "op7_toxicity": toxicity.query,
