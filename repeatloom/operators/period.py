@@ -15,7 +15,7 @@ def kmer_positions(sequences: DataFrame, k: int, step: int = 1000) -> DataFrame:
     k-mers taken from the whole string would cost the square of its length."""
     number = F.ceil((F.col("length") - k) / F.lit(step)).cast("int")
     piece = sequences.where(F.col("length") > k).select("seq_id", "length", "seq", F.explode(F.sequence(F.lit(0), number - 1)).alias("i"))
-    piece = piece.select("seq_id", (F.col("i") * step).alias("base"), F.substring("seq", F.col("i") * step + 1, F.least(F.lit(step + k), F.col("length").cast("int") - F.col("i") * step)).alias("piece"))
+    piece = piece.select("seq_id", (F.col("i") * step).alias("base"), F.substring(F.col("seq").cast("binary"), F.col("i") * step + 1, F.least(F.lit(step + k), F.col("length").cast("int") - F.col("i") * step)).cast("string").alias("piece"))
     hits = piece.select("seq_id", "base", F.posexplode(dna.kmers(F.col("piece"), k)).alias("at", "kmer"))
     return hits.where(~F.col("kmer").contains("n")).select("seq_id", "kmer", (F.col("base") + F.col("at") + 1).cast("long").alias("pos"))
 

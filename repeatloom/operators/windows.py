@@ -19,7 +19,8 @@ def tiles(sequences: DataFrame, size: int) -> DataFrame:
         .select("seq_id", "length", "seq", F.explode(F.sequence(F.lit(0), number - 1)).alias("win_idx"))
         .select(
             "seq_id", "length", F.col("win_idx").cast("long").alias("win_idx"), (F.col("win_idx") * size + 1).cast("long").alias("start"), (F.col("win_idx") * size + size).cast("long").alias("end"),
-            F.substring("seq", F.col("win_idx") * size + 1, F.lit(size)).alias("window"),
+            # bytes, not characters: the place of a byte in a long sequence is known at once
+            F.substring(F.col("seq").cast("binary"), F.col("win_idx") * size + 1, F.lit(size)).cast("string").alias("window"),
         )
     )
 

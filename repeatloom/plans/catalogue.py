@@ -6,12 +6,13 @@ segments, both mapped to bases too. Queries read whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repeatloom.config import Config
 from repeatloom.functions import dna
-from repeatloom.operators import intervals, period, units, windows
-from repeatloom.plans import arrays_plan
+from repeatloom.operators import arrays, intervals, period, units, windows
+from repeatloom.plans import annotate, arrays_plan
 from repeatloom.sources import fasta, sinks
 
 QUERIES: dict = {}
@@ -288,3 +289,43 @@ def gff_lines(spark, sf_dir):
 @query(_REGIONS + """ SELECT CAST("start" AS VARCHAR) || ',' || "end" || ',' || '"' || seq_id || '"' || ',' || windows AS line FROM regions""")
 def csv_lines(spark, sf_dir):
     return sinks.csv(region_table(spark, sf_dir).select("start", "end", F.col("seq_id").cast("string").alias("seq_id"), "windows"))
+
+
+def _annotation(spark, sf_dir):
+    s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
+    return annotate.annotate(s, CFG)
+
+
+CFG = Config(max_repeat=100)
+
+
+@query()
+def split_arrays(spark, sf_dir):
+    """Regions of the DNA view, segmented, with period and representative."""
+    s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
+    regions = windows.regions(windows.singleton_score(windows.kmer_totals(windows.tiles(s, CFG.window), CFG.k), CFG.k), CFG.window, CFG.low_score)
+    return arrays.split_regions(regions, s, CFG)
+
+
+@query()
+def canonical_units(spark, sf_dir):
+    u = unit_table(spark, sf_dir).select(F.col("unit_id").alias("start"), F.col("seq").alias("representative"))
+    return arrays.canonicalise(u, CFG, template_table(spark, sf_dir))
+
+
+@query()
+def greedy_classes(spark, sf_dir):
+    u = unit_table(spark, sf_dir).select(F.col("unit_id").alias("id"), "seq", F.length("seq").cast("double").alias("importance"))
+    return arrays.greedy_classes(u, Config(class_k=4), annotate.saver(spark)).drop("seed_seq")
+
+
+@query()
+def full_pipeline(spark, sf_dir):
+    """Summary of all classified arrays of the DNA view, after mapping every repeat."""
+    return _annotation(spark, sf_dir).summary
+
+
+@query()
+def mapped_repeats(spark, sf_dir):
+    out = _annotation(spark, sf_dir)
+    return arrays.with_sequence(out.repeats, out.sequences)

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
-def _shortest(x):
-    return x.map(lambda v: "" if v != v else "%.15g" % v)
-
-
 def number(c: Column) -> Column:
     """Doubles in up to 15 significant digits without trailing zeros, which the JVM's own format keeps."""
-    return _shortest(c.cast("double"))
+
+    @F.pandas_udf("string")
+    def shortest(x):
+        return x.map(lambda v: "" if v != v else "%.15g" % v)
+
+    return shortest(c.cast("double"))
 
 
 def csv(rows: DataFrame) -> DataFrame:
