@@ -10,10 +10,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """num_id, name, seq, length: records in file order. Names are the header's first word ('' if blank); text before the
     first header is ignored; sequences are lower-cased and keep their codes. A .gz suffix is decompressed by the reader.
 
-    Records are split at '>' at a line's begin; each record is one row, so a file may hold any number of records."""
-    lines = spark.read.text(path, wholetext=True)
-    records = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")), "\n>"), lambda r: F.lit(True))
-    rows = lines.select(F.posexplode(records).alias("num_id", "record")).where("num_id > 0")
+    The reader itself splits at a '>' that begins a line, so a file of any size is read in parallel and a record is a row.
+    One file a call: the order of records is that of the file's splits."""
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("at", F.monotonically_increasing_id()).withColumn("split", F.shiftright("at", 33))
+    first = F.col("at") == 0  # what comes before the first line break and '>'
+    junk = first & ~F.col("value").startswith(">")
+    # records before each split: one narrow row for each split, so numbering moves no sequence
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.max(junk.cast("int")).alias("junk"))
+    every = Window.orderBy("split")
+    before = counts.select("split", (F.sum("n").over(every) - F.col("n") - F.sum("junk").over(every)).alias("before"))
+    rows = rows.join(F.broadcast(before), "split").where(~junk).withColumn("num_id", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1)
+    rows = rows.withColumn("record", F.regexp_replace(F.when(first, F.expr("substring(value, 2)")).otherwise(F.col("value")), "\r", ""))
     head = F.substring_index("record", "\n", 1)
     return rows.select(
         F.col("num_id").cast("long").alias("num_id"),
