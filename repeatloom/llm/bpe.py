@@ -135,7 +135,7 @@ def encode(df: DataFrame, ranks: str, text: str = "text", id: str = "doc_id") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for block in vectext.blocks(b.column(1).to_pylist()):
+            for block in vectext.blocks(vectext.texts(b.column(1))):
                 ids, bounds = codec(ranks).encode(block)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], names=["id", "ids"])
                 at += len(block)
@@ -164,7 +164,7 @@ def round_trip_digests(df: DataFrame, ranks: str, text: str = "text", id: str =
         c = codec(ranks)
         for b in batches:
             at = 0
-            for block in vectext.blocks(b.column(1).to_pylist()):
+            for block in vectext.blocks(vectext.texts(b.column(1))):
                 ids, bounds = c.encode(block)
                 data, upto = c.decode(ids), np.concatenate([np.zeros(1, np.int64), np.cumsum(c.sizes[ids])])[bounds]
                 text_ids, marks = _joined(ids)

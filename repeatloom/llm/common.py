@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +41,34 @@ def discard(*frames: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: Arrow batches between the JVM and Python hold at most 1000 rows, unless the session has less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
+def draw(rows: DataFrame, rank: Column, n: int, by: str | None = None, groups: int = 1000) -> DataFrame:
+    """At most n rows, or n of each of the `groups` largest groups of by: those of least rank, a uniform 64-bit hash.
+
+    Groups are counted first, and rows whose hash lies far above what n rows need go where they are read, so what is
+    shuffled is a few times n rows of each group, at any size of the corpus."""
+    fine = 1 << 30
+    need = lambda count: min(fine, int(fine * (4 * n + 100) / max(count, 1)) + 1)
+    if by is None:
+        cut = F.lit(need(rows.count()))
+    else:
+        counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), by).limit(groups).collect()
+        if not counts:
+            return rows.limit(0)
+        cut = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r[by]), F.lit(need(r["n"])))]), F.col(by))
+    near = rows.withColumn("_rank", rank).where(F.pmod("_rank", F.lit(fine)) < cut)
+    order = Window.partitionBy(*([by] if by else [])).orderBy(F.pmod("_rank", F.lit(fine)), "_rank")
+    return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_rank", "_place")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

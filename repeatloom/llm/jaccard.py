@@ -37,10 +37,11 @@ from repeatloom.llm import common, graph, vectext
 
 WORDS, NUM, DEN = 5, 75, 100
 BLOCK = 128
-FLUSH = 1_000_000  # shingles held before they are dealt
+FLUSH = 600_000  # shingles held before they are dealt
+PART = 2_000_000  # shingles of one part
 SEEN = 200_000  # sets remembered in a task, to deal a copy's shingles only once
 
-_LOW = (np.uint64(1) << np.uint64(48)) - np.uint64(1)
+_SALT = np.uint64(0xA0761D6478BD642F)
 
 
 @lru_cache(maxsize=1)
@@ -99,7 +100,7 @@ def set_keys(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for block in vectext.blocks(b.column(1).to_pylist()):
+            for block in vectext.blocks(vectext.texts(b.column(1))):
                 _, bounds, keys = shingles(block)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(keys), pa.array(np.diff(bounds))], names=["id", "key", "n_shingles"])
                 at += len(block)
@@ -115,7 +116,7 @@ def _dealt(df: DataFrame, text: str, parts: int) -> DataFrame:
         tokens = np.concatenate([t for t, _, _ in held])
         keys, sizes = np.concatenate([k for _, k, _ in held]), np.concatenate([n for _, _, n in held])
         doc = np.repeat(np.arange(len(keys)), sizes)
-        part = ((tokens >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+        part = (vectext.mix(tokens ^ _SALT) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         part, tokens, doc = part[order], tokens[order], doc[order]
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
@@ -125,13 +126,13 @@ def _dealt(df: DataFrame, text: str, parts: int) -> DataFrame:
             first = np.flatnonzero(np.diff(d, prepend=-1))
             head = np.empty(len(first), _HEAD)
             head["key"], head["size"], head["n"] = keys[d[first]], sizes[d[first]], np.diff(np.append(first, b - a))
-            rows.append((int(part[a]), len(head).to_bytes(4, "little") + head.tobytes() + tokens[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+            rows.append((int(part[a]), _pack(head, tokens[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, set()
         for b in batches:
-            for block in vectext.blocks(b.column(0).to_pylist()):
+            for block in vectext.blocks(vectext.texts(b.column(0))):
                 flat, bounds, keys = shingles(block)
                 sizes = np.diff(bounds)
                 fresh = np.zeros(len(keys), bool)
@@ -156,34 +157,49 @@ _HEAD = np.dtype([("key", "<i8"), ("size", "<u4"), ("n", "<u4")])
 _TOKEN = np.dtype([("df", "<u4"), ("token", "<u8")])
 
 
+def _pack(heads: np.ndarray, body: bytes) -> bytes:
+    return len(heads).to_bytes(4, "little") + heads.tobytes() + body
+
+
+def _unpack(raw) -> tuple[np.ndarray, memoryview]:
+    view = memoryview(raw.as_buffer())
+    n = int.from_bytes(view[:4], "little")
+    return np.frombuffer(view, _HEAD, n, 4), view[4 + n * _HEAD.itemsize :]
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def _shared(dealt: DataFrame, parts: int) -> DataFrame:
-    """key, size, n, packed: each set's useful shingles of one part, as (number of sets, shingle)."""
+    """part, packed: the useful shingles of one range, dealt by set: sets (key, size, number), and (number of sets, shingle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, keys, sizes, names = [], [], [], []
+        tokens, heads = [], []
         for b in batches:
             for part, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = raw.as_buffer()
-                n = int.from_bytes(memoryview(raw)[:4], "little")
-                head = np.frombuffer(raw, _HEAD, n, 4)
-                body = np.frombuffer(raw, np.uint8, offset=4 + n * _HEAD.itemsize).reshape(-1, 6)
-                t = np.zeros((len(body), 8), np.uint8)
-                t[:, :6] = body
-                tokens.append(t.view(np.uint64).ravel() | np.uint64(part) << np.uint64(48))
-                keys.append(np.repeat(head["key"], head["n"]))
-                sizes.append(np.repeat(head["size"], head["n"]))
+                head, body = _unpack(raw)
+                t = np.zeros((len(body) // 6, 8), np.uint8)
+                t[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+                # a shingle is told by its part and 48 bits
+                tokens.append(vectext.mix(t.view(np.uint64).ravel() ^ vectext.mix(np.array([part], np.uint64) + _SALT)))
+                heads.append(head.copy())
         if not tokens:
             return
-        t, k, s = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes).astype(np.int64)
-        del tokens, keys, sizes
+        t, head = np.concatenate(tokens), np.concatenate(heads)
+        del tokens, heads
+        owner = np.repeat(np.arange(len(head), dtype=np.int32), head["n"])
         # shingles of one set only are most of all: found by sorting the shingles alone
         order = np.argsort(t)
-        t, k, s = t[order], k[order], s[order]
+        t = t[order]
         same = t[1:] == t[:-1]
         several = np.zeros(len(t), bool)
         several[1:] |= same
         several[:-1] |= same
-        t, k, s = t[several], k[several], s[several]
+        t, owner = t[several], owner[order[several]]
+        del order, same, several
+        k, s = head["key"][owner], head["size"][owner].astype(np.int64)
         order = np.lexsort((k, s, t))
         t, k, s = t[order], k[order], s[order]
         copy = np.zeros(len(t), bool)  # the same set, dealt by two tasks
@@ -193,25 +209,30 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
         use = np.zeros(len(t), bool)
         use[1:] |= near
         use[:-1] |= near
-        first = np.flatnonzero(np.diff(t, prepend=~t[:1]) != 0) if len(t) else np.zeros(0, np.int64)
-        count = np.repeat(np.diff(np.append(first, len(t))), np.diff(np.append(first, len(t))))
+        first = _starts(t)
+        each = np.diff(np.append(first, len(t)))
+        count = np.repeat(each, each)
         t, k, s, count = t[use], k[use], s[use], count[use]
-        order = np.argsort(k, kind="stable")
-        t, k, s, count = t[order], k[order], s[order], count[order]
+        # one row for each part of the sets, so the number of rows does not follow the number of sets
+        to = (vectext.mix(k.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((k, to))
+        t, k, s, count, to = t[order], k[order], s[order], count[order], to[order]
         packed = np.empty(len(t), _TOKEN)
         packed["df"], packed["token"] = count, t
-        cuts = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(k))
-        for a in range(0, len(cuts), 20_000):
-            c, e = cuts[a : a + 20_000], ends[a : a + 20_000]
-            raw = packed[c[0] : e[-1]].tobytes()
-            offsets = pa.array(np.append(c - c[0], e[-1] - c[0]) * _TOKEN.itemsize, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[c]), pa.array(s[c]), pa.array(e - c), pa.BinaryArray.from_buffers(pa.binary(), len(c), [None, offsets.buffers()[1], pa.py_buffer(raw)])],
-                names=["key", "size", "n", "packed"],
-            )
-
-    return dealt.repartition(parts, "part").mapInArrow(run, "key long, size long, n long, packed binary")
+        cuts = _starts(to)
+        rows: list[tuple[int, bytes]] = []
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)]):
+            begin = x + _starts(k[x:y])
+            heads = np.empty(len(begin), _HEAD)
+            heads["key"], heads["size"], heads["n"] = k[begin], s[begin], np.diff(np.append(begin, y))
+            rows.append((int(to[x]), _pack(heads, packed[x:y].tobytes())))
+            if len(rows) == 64:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["part", "packed"])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["part", "packed"])
+
+    return dealt.repartition(parts, "part").mapInArrow(run, "part int, packed binary")
 
 
 def need(a, b):
@@ -219,28 +240,36 @@ def need(a, b):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
-def _items(shared: DataFrame) -> DataFrame:
+def _items(shared: DataFrame, parts: int) -> DataFrame:
     """key, size, tokens (rare first), prefix (how many of them are the prefix); only items that can link at all."""
-    able = (
-        shared.groupBy("key", "size").agg(F.sum("n").alias("n"), F.collect_list("packed").alias("packed"))
-        .where(F.col("n") * DEN >= F.col("size") * NUM)
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, prefix = [], []
-            for size, lists in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = np.frombuffer(b"".join(lists), _TOKEN)
-                x = x[np.lexsort((x["token"], x["df"]))]
-                tokens.append(x["token"].view(np.int64))
-                # shingles that no other set has come first of all, so this many useful ones are left in the prefix
-                prefix.append(max(0, size - -(-NUM * size // DEN) + 1 - (size - len(x))))
-            bounds = np.zeros(len(tokens) + 1, np.int32)
-            np.cumsum([len(t) for t in tokens], out=bounds[1:])
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.array(prefix, pa.int32())], names=["key", "size", "tokens", "prefix"])
-
-    return able.select("key", "size", "packed").mapInArrow(run, "key long, size long, tokens array<long>, prefix int")
+        got = [_unpack(x) for b in batches for x in b.column(1)]
+        if not got:
+            return
+        heads = np.concatenate([h for h, _ in got])
+        x = np.concatenate([np.frombuffer(t, _TOKEN) for _, t in got])
+        del got
+        keys = np.repeat(heads["key"], heads["n"])
+        order = np.argsort(keys, kind="stable")
+        x, keys = x[order], keys[order]
+        first = _starts(keys)
+        n = np.diff(np.append(first, len(x)))
+        by_key = np.argsort(heads["key"], kind="stable")
+        size = heads["size"][by_key][_starts(heads["key"][by_key])].astype(np.int64)
+        able = n * DEN >= size * NUM
+        x, key, size, n = x[np.repeat(able, n)], keys[first[able]], size[able], n[able]
+        item = np.repeat(np.arange(len(n)), n)
+        tokens = x["token"][np.lexsort((x["token"], x["df"], item))].view(np.int64)
+        # shingles that no other set has come first of all, so this many useful ones are left in the prefix
+        prefix = np.maximum(0, size - -(-NUM * size // DEN) + 1 - (size - n))
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        for a in range(0, len(n), 2000):
+            e = min(a + 2000, len(n))
+            lists = pa.ListArray.from_arrays(pa.array(bounds[a : e + 1] - bounds[a], pa.int32()), pa.array(tokens[bounds[a] : bounds[e]]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[a:e]), pa.array(size[a:e]), lists, pa.array(prefix[a:e], pa.int32())], names=["key", "size", "tokens", "prefix"])
+
+    return shared.repartition(parts, "part").mapInArrow(run, "key long, size long, tokens array<long>, prefix int")
 
 
 class Tree:
@@ -375,9 +404,12 @@ def link_forest(items: DataFrame, families: DataFrame) -> DataFrame:
 def near_components(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id, key; one row for each row of df."""
     spark = df.sparkSession
-    parts = common.partitions(spark)
+    common.small_batches(spark)
     members = common.materialise(set_keys(df, text, id), "jaccard-members")
-    items = common.materialise(_items(_shared(_dealt(df, text, parts), parts)), "jaccard-items")
+    # the shingles of a part are sorted in memory, so the number of parts follows the number of shingles
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(common.partitions(spark), -(-total // PART))
+    items = common.materialise(_items(_shared(_dealt(df, text, parts), parts), parts), "jaccard-items")
     prefix = items.where("prefix > 0").select("key", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
     star = prefix.groupBy("token").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     edges = prefix.join(common.materialise(star, "jaccard-star").select("token", "hub"), "token").select(F.col("key").alias("a"), F.col("hub").alias("b"))

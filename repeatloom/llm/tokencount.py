@@ -84,7 +84,7 @@ def count(df: DataFrame, model: str, limit: int = LIMIT, text: str = "text", id:
         c = counter(model)
         for b in batches:
             at = 0
-            for block in vectext.blocks(b.column(1).to_pylist(), prefix=" "):
+            for block in vectext.blocks(vectext.texts(b.column(1)), prefix=" "):
                 size, tokens = c.count(block)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(size), pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
                 at += len(block)

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
@@ -90,6 +90,12 @@ def blocks(texts: Iterable[str | None], size: int = BLOCK, prefix: str = "") ->
         yield Block(held)
 
 
+def texts(column) -> Iterator[str | None]:
+    """An Arrow column's values, a few rows at a time."""
+    for a in range(0, len(column), 256):
+        yield from column.slice(a, 256).to_pylist()
+
+
 def runs(block: Block, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of one class within a document."""
     n = len(cls)
