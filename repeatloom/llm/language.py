@@ -6,8 +6,8 @@ likelihood is the sum over all its segmentations (forward algorithm), a text's t
 posterior of the best language under equal priors. Words are runs of letters, cut after CUT letters; a letter that is no
 piece has a small fixed probability. Words are scored once for each distinct one of a block, and remembered.
 
-Training reads text and language only, from at most PER_LANGUAGE documents a language (those of least hash among the
-documents of at most LONGEST_TEXT characters): this bound is fixed, so training costs the same at any size. Prediction
+Training reads text and language only, from at most PER_LANGUAGE documents a language (those of least id hash among the
+documents of at most LONGEST_TEXT characters, of at most a thousand languages): this bound is fixed, so training costs the same at any size. Prediction
 reads every whole text.
 
 Null text, and text without a letter: language `und`, score 0. Rows are independent; ties of languages go to the first
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm import common, vectext
@@ -165,15 +165,11 @@ class Model:
         return [self.languages[g] if ok else "und" for g, ok in zip(best.tolist(), some.tolist())], np.where(some, post[np.arange(n), best], 0.0)
 
 
-def fit(df: DataFrame, model: str, text: str = "text", lang: str = "lang") -> Model:
-    """Learns from df's rows with text and language; what reaches the driver is the bounded sample."""
-    order = Window.partitionBy("lang").orderBy("rank", "text")
-    rows = (
-        df.select(df[text].alias("text"), df[lang].alias("lang"))
-        .where("text is not null and lang is not null").where(F.length("text") <= LONGEST_TEXT)
-        .withColumn("rank", F.xxhash64("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
-        .select("lang", "text").collect()
-    )
+def fit(df: DataFrame, model: str, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model:
+    """Learns from df's rows with text and language; what reaches the driver is the bounded sample, drawn by the id's hash."""
+    known = df.select(df[text].alias("text"), df[lang].alias("lang"), F.xxhash64(df[id]).alias("rank")).where("text is not null and lang is not null").where(F.length("text") <= LONGEST_TEXT)
+    rows = common.draw(known, F.col("rank"), PER_LANGUAGE, "lang").select("lang", "text").collect()
+    rows.sort(key=lambda r: (r["lang"], r["text"]))
     languages = sorted({r["lang"] for r in rows})
     where: dict[str, int] = {}
     entries: list[tuple[int, int]] = []
@@ -197,7 +193,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for block in vectext.blocks(b.column(1).to_pylist()):
+            for block in vectext.blocks(vectext.texts(b.column(1))):
                 names, score = shared.value.predict(block)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
                 at += len(block)

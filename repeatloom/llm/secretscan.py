@@ -96,7 +96,7 @@ def samples(words: list[str], seed: int = SAMPLE_SEED, n: int = 6000) -> tuple[l
     alphabets = [string.digits + "abcdef", string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.digits + "ABCDEF"]
     noise = ["".join(rng.choices(alphabets[k % len(alphabets)], k=rng.randint(20, 64))) for k in range(n)]
     names = sorted({*dir(builtins), *keyword.kwlist, *sys.stdlib_module_names, *dir(str), *dir(re), *dir(random), *dir(hashlib)})
-    plain = sorted({w for w in words if w.isascii() and w.isalpha()}) or names
+    plain = sorted({w for w in [*words, *(p for x in names for p in x.split("_"))] if len(w) > 1 and w.isascii() and w.isalpha()})
     out = list(names)
     for _ in range(n):
         some = rng.choices(plain, k=rng.randint(1, 4))
@@ -106,11 +106,11 @@ def samples(words: list[str], seed: int = SAMPLE_SEED, n: int = 6000) -> tuple[l
     return noise, out
 
 
-def fit(df: DataFrame, text: str = "text") -> Detector:
-    """Words for identifiers come from SAMPLE_DOCS documents at most (least hash, of at most SAMPLE_TEXT characters)."""
-    drawn = df.select(df[text].alias("text")).where("text is not null").where(F.length("text") <= SAMPLE_TEXT)
-    rows = drawn.withColumn("rank", F.xxhash64("text")).orderBy("rank", "text").limit(SAMPLE_DOCS).select("text").collect()
-    return Detector(*samples([w for r in rows for w in re.findall(r"[^\W\d_]+", r["text"])]))
+def fit(df: DataFrame, text: str = "text", id: str = "doc_id") -> Detector:
+    """Words for identifiers come from SAMPLE_DOCS documents at most (least id hash, of at most SAMPLE_TEXT characters)."""
+    some = df.select(df[text].alias("text"), F.xxhash64(df[id]).alias("rank")).where("text is not null").where(F.length("text") <= SAMPLE_TEXT)
+    rows = sorted(r["text"] for r in common.draw(some, F.col("rank"), SAMPLE_DOCS).select("text").collect())
+    return Detector(*samples([w for t in rows for w in re.findall(r"[^\W\d_]+", t)]))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm import common, vectext
 from repeatloom.llm.language import fold
 
-PER_LABEL, LONGEST_TEXT = 4000, 20_000
+PER_LABEL, LONGEST_TEXT = 2000, 20_000
 FEATURES, LEAST_DOCS, STEPS, RATE, SHRINK, BASE = 30_000, 3, 150, 0.15, 2e-5, -5.0
+LEAST_CHI, BUCKETS = 6.0, 1 << 22
 _STOPS = [ord(c) for c in ".!?\n|"]
 
 
@@ -69,36 +70,50 @@ class Model:
         order = np.lexsort((-first, z))  # the greatest last; of equals the first
         start[doc[order]], end[doc[order]] = (first - block.bounds[doc])[order], (last - block.bounds[doc])[order]
         worst = np.zeros(n)
-        worst[doc[order]] = 1 / (1 + np.exp(-z[order]))
+        worst[doc[order]] = 1 / (1 + np.exp(-np.clip(z[order], -500, 500)))
         return p, worst, start, end
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), BASE)
-    if not len(texts) or labels.min() == labels.max():
-        return empty
-    kinds, words, docs = [], [], []  # feature, sentence, document
-    sentence_doc, at, base = [], 0, 0
+def _entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block and kind of feature: hashes, and the sentence and document of each, numbered through."""
+    at = base = 0
     for block in vectext.blocks(texts):
         first, _, doc, sentence, features = sentences(block)
         for h in features:
-            kinds.append(h)
-            words.append(sentence + base)
-            docs.append((doc + at)[sentence] if len(first) else sentence)
-        sentence_doc.append(doc + at)
+            yield h, sentence + base, (doc + at)[sentence] if len(first) else sentence
         at, base = at + len(block), base + len(first)
-    kinds, words, docs = np.concatenate(kinds), np.concatenate(words), np.concatenate(docs)
-    sentence_doc = np.concatenate(sentence_doc)
-    keys, index = np.unique(kinds, return_inverse=True)
-    seen = np.unique(index.astype(np.int64) * len(texts) + docs)  # a feature counts once a document
-    feature, of = seen // len(texts), seen % len(texts)
-    yes = np.bincount(feature, labels[of], len(keys))
-    every = np.bincount(feature, minlength=len(keys))
-    share = labels.mean()
+
+
+def _chi(yes: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
+    """How far a feature's documents depart from the share of positive ones; 0 for rare features."""
     chi = (yes - every * share) ** 2 / np.maximum(every * share * (1 - share), 1e-9)
     chi[every < LEAST_DOCS] = 0
+    return chi
+
+
+def train(texts: list[str], labels: np.ndarray) -> Model:
+    """Features are counted by hash bucket first, so memory is that of the buckets and of the features that stay."""
+    if not len(texts) or labels.min() == labels.max():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), BASE)
+    share = labels.mean()
+    yes, every = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    count = 0
+    for h, s, d in _entries(texts):
+        seen = np.unique(((h % np.uint64(BUCKETS)).astype(np.int64) << 20) | d)  # a feature counts once a document
+        np.add.at(every, seen >> 20, 1)
+        np.add.at(yes, seen >> 20, labels[seen & 0xFFFFF])
+        count = max(count, int(s[-1]) + 1 if len(s) else 0)
+    wanted = _chi(yes, every, share) > LEAST_CHI
+    kept = [(h[m], s[m], d[m]) for h, s, d in _entries(texts) if (m := wanted[h % np.uint64(BUCKETS)]) is not None]
+    kinds, words, docs = (np.concatenate(x) for x in zip(*kept))
+    sentence_doc = np.zeros(count, np.int64)
+    for _, s, d in _entries(texts):
+        sentence_doc[s] = d
+    keys, index = np.unique(kinds, return_inverse=True)
+    seen = np.unique(index.astype(np.int64) << 20 | docs)
+    chi = _chi(np.bincount(seen >> 20, labels[seen & 0xFFFFF], len(keys)), np.bincount(seen >> 20, minlength=len(keys)), share)
     chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    chosen = chosen[chi[chosen] > 2.7]
+    chosen = chosen[chi[chosen] > LEAST_CHI]
     place = np.full(len(keys), -1)
     place[chosen] = np.arange(len(chosen))
     use = place[index] >= 0
@@ -108,7 +123,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     y = labels.astype(float)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(row, w[col], len(sentence_doc))
-        p = 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         total = np.maximum(np.bincount(sentence_doc, np.logaddexp(0, z), len(texts)), 1e-9)
         pull = np.where(y > 0, 1 / np.expm1(np.minimum(total, 500)), -1.0)  # (1 - P) / P, or -1
         g = p * pull[sentence_doc]
@@ -124,9 +139,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic") -> Model:
     """Learns from labels(id, label); the sample of labels is drawn first, so the join with documents is by a table of fixed size."""
-    order = Window.partitionBy("label").orderBy("rank", "id")
     known = labels.select(labels[id].alias("id"), labels[label].alias("label")).where("id is not null and label is not null").distinct()
-    drawn = known.withColumn("rank", F.xxhash64("id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LABEL).select("id", "label")
+    drawn = common.draw(known, F.xxhash64("id"), PER_LABEL, "label").select("id", "label")
     rows = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(F.length("text") <= LONGEST_TEXT).join(F.broadcast(drawn), "id").select("id", "text", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["label"], r["text"]))
     return train([r["text"] for r in rows], np.array([int(r["label"] > 0) for r in rows]))
@@ -141,7 +155,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for block in vectext.blocks(b.column(width).to_pylist()):
+            for block in vectext.blocks(vectext.texts(b.column(width))):
                 out = shared.value.score(block)
                 yield pa.RecordBatch.from_arrays([*[b.column(i).slice(at, len(block)) for i in range(width)], *[pa.array(x) for x in out]], names=names)
                 at += len(block)
