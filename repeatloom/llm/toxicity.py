@@ -2,11 +2,14 @@
 
 A document is a bag of sentences. A sentence's probability is a logistic function of its words' features (the word and its
 first four and six letters, lower-cased); the document's is the noisy-or of its sentences, so one toxic sentence makes a
-toxic document. Weights are learned from document labels alone, by gradient steps on the bag likelihood; afterwards
+toxic document. In scoring, a sentence below a floor adds nothing, so that the background of clean sentences does not add up
+with their number: the floor is FLOOR up to MANY sentences and rises to one half with more, since chance alone brings more
+doubtful ones. The score is at least the worst sentence's probability. Weights are learned from document labels alone, by gradient steps on the bag likelihood; afterwards
 the sentence probabilities locate the offending sentences.
 
-Training reads text and label from at most PER_LABEL documents of each label (least hash first, of at most LONGEST_TEXT
-characters), a fixed bound; of their features the FEATURES ones that tell labels apart best (chi-square) get weights.
+Training reads text and label from at most PER_LABEL documents of each label (least hash first), whole and of any length,
+toxic and clean ones each as far as they fit into MOST_TEXT characters together (if none fits, the shortest alone), a fixed
+bound; of their features the FEATURES ones that tell labels apart best (chi-square) get weights.
 Scoring reads every whole text; the weights are a fixed-size broadcast.
 
 Null and empty texts have no sentence: they get the background probability of a document without one, 0. Ids are not
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from repeatloom.llm import common, vectext
 from repeatloom.llm.language import fold
 
-PER_LABEL, LONGEST_TEXT = 2000, 20_000
+PER_LABEL, MOST_TEXT = 2000, 10_000_000
+FLOOR, MANY = 0.25, 100
 FEATURES, LEAST_DOCS, STEPS, RATE, SHRINK, BASE = 30_000, 3, 150, 0.15, 2e-5, -5.0
 LEAST_CHI, BUCKETS = 6.0, 1 << 22
 _STOPS = [ord(c) for c in ".!?\n|"]
@@ -62,15 +66,16 @@ class Model:
             for h in features:
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 z += np.bincount(sentence, np.where(self.keys[at] == h, self.weights[at], 0.0), len(first))
-        none = np.logaddexp(0, z)  # -log(1 - p)
+        own = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        floor = 0.5 - (0.5 - FLOOR) * np.minimum(1, MANY / np.maximum(np.bincount(doc, minlength=n), 1))
+        none = np.where(own >= floor[doc], np.logaddexp(0, z), 0.0)  # -log(1 - p)
         p = -np.expm1(-np.bincount(doc, none, n)) if len(first) else np.zeros(n)
-        if not len(self.keys):
-            p = np.zeros(n)
         start, end = np.full(n, -1), np.full(n, -1)
         order = np.lexsort((-first, z))  # the greatest last; of equals the first
         start[doc[order]], end[doc[order]] = (first - block.bounds[doc])[order], (last - block.bounds[doc])[order]
         worst = np.zeros(n)
-        worst[doc[order]] = 1 / (1 + np.exp(-np.clip(z[order], -500, 500)))
+        worst[doc[order]] = own[order]
+        p = np.maximum(p, worst) if len(self.keys) else np.zeros(n)
         return p, worst, start, end
 
 
@@ -141,7 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     """Learns from labels(id, label); the sample of labels is drawn first, so the join with documents is by a table of fixed size."""
     known = labels.select(labels[id].alias("id"), labels[label].alias("label")).where("id is not null and label is not null").distinct()
     drawn = common.draw(known, F.xxhash64("id"), PER_LABEL, "label").select("id", "label")
-    rows = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(F.length("text") <= LONGEST_TEXT).join(F.broadcast(drawn), "id").select("id", "text", "label").collect()
+    texts = docs.select(docs[id].alias("id"), docs[text].alias("text")).where("text is not null")
+    sizes = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.sum(F.length("text")).alias("n"), F.first(F.xxhash64("id")).alias("rank")).collect()
+    chosen = []
+    for kind in (True, False):
+        mine, room = sorted((r for r in sizes if (r["label"] > 0) == kind), key=lambda r: (r["rank"], r["label"])), MOST_TEXT
+        if mine and min(r["n"] for r in mine) > room:
+            mine = [min(mine, key=lambda r: r["n"])]
+            room = mine[0]["n"]
+        for r in mine:
+            if r["n"] <= room:
+                chosen.append((r["id"], r["label"]))
+                room -= r["n"]
+    picked = docs.sparkSession.createDataFrame(chosen, drawn.schema)
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["label"], r["text"]))
     return train([r["text"] for r in rows], np.array([int(r["label"] > 0) for r in rows]))
 

@@ -80,6 +80,36 @@ def test_noisy_or():
     assert model.score(block)[0] == pytest.approx([1 - (1 - q) ** 3, q, 0, 0])
 
 
+def test_toxicity_of_long_texts(spark):
+    """Clean texts of thousands of sentences stay clean, one toxic sentence still shows, and long documents are learned from."""
+    texts = ["You utter clod!", "A fine day."] * 60
+    model = toxicity.train(texts, np.array([1, 0] * 60))
+    model.base = -7.0  # what real labels lead to, or more
+    clean = "Then we went home. " * 6000
+    (block,) = vectext.blocks([clean, clean + "You utter clod! " + clean, "Then we went home."])
+    model.weights = np.where(model.weights > 0, 9.0, 0.0)
+    p = model.score(block)[0]
+    assert p[0] < 0.5 < p[1] and p[2] < 0.5
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = language.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels.where(~held))
+    good = [r.text for r in docs.join(labels.where(held).where("toxic = 0"), "doc_id").where("text is not null").orderBy("doc_id").collect()]
+    joined = ["\n".join(good[i::7]) for i in range(7)]
+    counts = [len(toxicity.sentences(b)[0]) for t in joined for b in vectext.blocks([t])]
+    assert min(counts) > 3000
+    alone = []
+    for b in vectext.blocks(good):
+        alone.append(model.score(b)[1])
+    worst = np.concatenate(alone)  # only a text that holds a sentence of one half or more by itself may be flagged
+    flagged = [model.score(b)[0][0] >= 0.5 for t in joined for b in vectext.blocks([t])]
+    assert flagged == [worst[i::7].max() >= 0.5 for i in range(7)] and sum(flagged) <= 3
+    long = [(i, ("You utter clod! " if i % 2 else "") + "A fine day. " * 2000) for i in range(40)]
+    model = toxicity.fit(spark.createDataFrame(long, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert len(model.keys)
+
+
 PLAIN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
