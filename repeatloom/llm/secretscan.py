@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The base kinds are fixed patterns (assign, access, hex), leftmost and non-overlapping for each kind. The method adds the
-kind `markov`: runs of LEAST or more token characters that overlap no base span and look random. Two first-order models
+kind `markov`: runs of LEAST or more token characters, or what base spans leave of them, that look random as a whole or in
+a stretch. Two first-order models
 over character classes of 64 symbols are trained from labelled samples: random strings over the usual secret alphabets (hex,
 base 32, base 62, base 64), and ordinary identifiers (the names of the Python standard library, joined words of a bounded
 sample of documents, in snake, kebab, camel and plain case). A run is a secret if its log-likelihood ratio is at least
-MARGIN nats, and PER_CHARACTER nats a character.
+MARGIN nats, and PER_CHARACTER nats a character. Of a run that is none, each maximal scoring stretch (by the ratio less
+PER_CHARACTER a character; Ruzzo and Tompa, linear in the run) is tested likewise, with the logarithm of the run's length
+added to MARGIN for the choice of its place; a stretch reaches to the next separators where it passes so too.
 
 Null and empty texts have no span. Offsets are code points, ends exclusive; the end of a base span is its match's.
 Rows are independent, so ties and repeats need no special case. Other columns are kept by `redact`. Empty table: no rows.
@@ -46,6 +49,32 @@ for _i, _c in enumerate(string.ascii_lowercase + string.digits + string.ascii_up
 _START = 64
 
 
+_SEPARATORS = "/_=-"
+
+
+def stretches(gain: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches of a list of scores, first and end, from left to right."""
+    first, end, low, high, link = [], [], [], [], []  # low, high: the sums before and after; link: the nearest earlier one of less low
+    total = 0.0
+    for i, g in enumerate(gain):
+        before, total = total, total + g
+        if g <= 0:
+            continue
+        a, lo, hi = i, before, total
+        while True:
+            j = len(first) - 1
+            while j >= 0 and low[j] >= lo:
+                j = link[j]
+            if j < 0 or high[j] >= hi:
+                break
+            a, lo = first[j], low[j]
+            for x in (first, end, low, high, link):
+                del x[j:]
+        for x, v in zip((first, end, low, high, link), (a, i + 1, lo, hi, j)):
+            x.append(v)
+    return list(zip(first, end))
+
+
 def _codes(s: str) -> np.ndarray:
     return np.concatenate([[_START], _SYMBOLS[np.frombuffer(s.encode("ascii"), np.uint8)]]).astype(np.int64)
 
@@ -73,6 +102,42 @@ class Detector:
     def secret(self, s: str) -> bool:
         return (x := self.score(s)) >= MARGIN and x >= PER_CHARACTER * len(s)
 
+    def found(self, s: str) -> list[tuple[int, int]]:
+        """The secret parts of a run: all of it, or its stretches."""
+        if len(s) < LEAST:
+            return []
+        if self.secret(s):
+            return [(0, len(s))]
+        c = _codes(s)
+        gain = self.ratio[c[:-1], c[1:]] - PER_CHARACTER
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        if (sums - np.minimum.accumulate(sums)).max() <= 0:
+            return []
+        whole = np.concatenate([[0.0], np.cumsum(gain + PER_CHARACTER)])
+        begin = self.ratio[_START, c[1:]]
+        margin = MARGIN + np.log(len(s))
+        cuts = np.flatnonzero(np.isin(np.frombuffer(s.encode("ascii"), np.uint8), [ord(x) for x in _SEPARATORS]))
+        out: list[tuple[int, int]] = []
+        for a, b in stretches(gain.tolist()):
+            if out and b <= out[-1][1]:
+                continue
+            k, n = np.searchsorted(cuts, a), np.searchsorted(cuts, b)
+            left, right = int(cuts[k - 1]) + 1 if k else 0, int(cuts[n]) if n < len(cuts) else len(s)
+            for x, y in ((left, right), (left, b), (a, right), (a, b)):
+                if y - x >= LEAST and begin[x] + whole[y] - whole[x + 1] >= max(margin, PER_CHARACTER * (y - x)):
+                    if out and x < out[-1][1]:
+                        x = out.pop()[0]
+                    out.append((x, y))
+                    break
+        return out
+
+    def _rest(self, text: str, a: int, b: int, after: bool, before: bool) -> list[tuple[str, int, int]]:
+        while after and a < b and text[a] in _SEPARATORS:
+            a += 1
+        while before and a < b and text[b - 1] in _SEPARATORS:
+            b -= 1
+        return [("markov", a + x, a + y) for x, y in self.found(text[a:b])]
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) by start, then kind as listed."""
         out = []
@@ -83,10 +148,18 @@ class Detector:
         for a, b in runs:  # the other base kinds lie within runs
             out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text, a, b)]
             out += [("hex", m.start(), m.end()) for m in HEX.finditer(text, a, b)]
-        base = list(out)
+        base = sorted((s, e) for _, s, e in out)
+        at = 0
         for a, b in runs:
-            if not any(s < b and a < e for _, s, e in base) and self.secret(text[a:b]):
-                out.append(("markov", a, b))
+            while at < len(base) and base[at][1] <= a:
+                at += 1
+            left, k = a, at
+            while k < len(base) and base[k][0] < b:  # what lies before each base span, without the separators beside it
+                if left < base[k][0]:
+                    out += self._rest(text, left, base[k][0], left > a, True)
+                left, k = max(left, base[k][1]), k + 1
+            if left < b:
+                out += self._rest(text, left, b, left > a, False)
         return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

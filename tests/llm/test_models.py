@@ -148,6 +148,41 @@ def test_markov(spark, docs, none):
     assert clean[14] == "[SECRET] [SECRET]" and clean[0] is None and clean[5].startswith("The cat")
 
 
+def test_stretches():
+    rng = random.Random(3)
+
+    def slow(gain, at):  # the best stretch, then the same on either side
+        best = max(((sum(gain[i:j]), i - j, -i, i, j) for i in range(len(gain)) for j in range(i + 1, len(gain) + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, j = best[3:]
+        return [*slow(gain[:i], at), (at + i, at + j), *slow(gain[j:], at + j)]
+
+    for _ in range(300):
+        gain = [rng.uniform(-2, 2) for _ in range(rng.randint(0, 14))]
+        assert secretscan.stretches(gain) == slow(gain, 0)
+
+
+def test_keys_within_runs():
+    """Keys joined to words, or beside a base span, are found; words alone are not."""
+    d, rng = detector(), random.Random(5)
+    words = ["reading", "value", "total", "index", "writer", "count", "alpha", "beta"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hit = dict.fromkeys(range(6), 0)
+    wrong = 0
+    for _ in range(200):
+        key = "".join(rng.choices(letters, k=32))
+        some = "/".join(rng.choices(words, k=8))
+        access, digest = "AKIA" + "".join(rng.choices(letters[:26], k=16)), "".join(rng.choices("0123456789abcdef", k=40))
+        for i, (head, tail) in enumerate([("", ""), (some + "/", ""), ("", "-" + some), (some + "_", "/" + some), (access + "/", ""), (digest + "/", "/" + some)]):
+            text = f"see {head}{key}{tail} here"
+            at = 4 + len(head)
+            kinds = [(a, b) for k, a, b in d.spans(text) if k == "markov"]
+            hit[i] += any(a <= at and at + 32 <= b for a, b in kinds)
+        wrong += any(k == "markov" for k, _, _ in d.spans(rng.choice("/-_").join(rng.choices(words, k=60))))
+    assert min(hit.values()) >= 190 and wrong <= 2, (hit, wrong)
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
 def test_png_round_trip(n):
     data = bytes(random.Random(n).choices(range(256), k=n))
