@@ -37,13 +37,28 @@ class Annotation:
     sequences: DataFrame
 
 
-def annotate(sequences: DataFrame, cfg: Config = Config(), templates: DataFrame | None = None) -> Annotation:
-    """sequences(num_id, seq_id, seq, length). Steps that later ones read again are written once."""
+def find(sequences: DataFrame, ranges: tuple[Config, ...], save) -> tuple[DataFrame, DataFrame]:
+    """Regions and arrays of each configuration, in order of max_repeat. Each has its own windows and reads the sequences that
+    hold one; its arrays count where their period is over the max_repeat before, so every period is looked for at one scale."""
+    regions, arrays, least = None, None, None
+    for cfg in ranges:
+        scores = windows.singleton_score(windows.kmer_totals(windows.tiles(sequences, cfg.window), cfg.k), cfg.k)
+        own = save(windows.regions(scores, cfg.window, cfg.low_score))
+        cut = ops.split_regions(own, sequences, cfg)
+        if least is None:
+            regions, arrays = own, cut
+        else:
+            regions, arrays = regions.unionByName(own), arrays.unionByName(cut.where(F.col("top_N") > least))
+        least = cfg.max_repeat
+    return regions, arrays
+
+
+def annotate(sequences: DataFrame, cfg: Config = Config(), templates: DataFrame | None = None, shorter: tuple[Config, ...] = ()) -> Annotation:
+    """sequences(num_id, seq_id, seq, length). Steps that later ones read again are written once. shorter: configurations of less
+    max_repeat, whose smaller windows find what cfg's windows are too long for."""
     save = saver(sequences.sparkSession)
-    tiles = windows.tiles(sequences, cfg.window)
-    scores = windows.singleton_score(windows.kmer_totals(tiles, cfg.k), cfg.k)
-    regions = save(windows.regions(scores, cfg.window, cfg.low_score))
-    arrays = save(ops.canonicalise(ops.split_regions(regions, sequences, cfg), cfg, templates))
+    regions, found = find(sequences, (*shorter, cfg), save)
+    arrays = save(ops.canonicalise(found, cfg, templates))
     classed = save(ops.classify(arrays, cfg, save))
     repeats = save(ops.map_arrays(classed, sequences, cfg, templates))
     return Annotation(regions, classed, repeats, summarise(classed, repeats), sequences)

@@ -293,24 +293,24 @@ def csv_lines(spark, sf_dir):
 
 def _annotation(spark, sf_dir):
     s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
-    return annotate.annotate(s, CFG)
+    return annotate.annotate(s, RANGES[-1], shorter=RANGES[:-1])
 
 
-CFG = Config(max_repeat=100)
+#: Windows of 121, 200 and 1111 bases: most documents hold no window of the default, and short arrays are thin in a long one.
+RANGES = (Config(max_repeat=100), Config(max_repeat=172), Config())
 
 
 @query()
 def split_arrays(spark, sf_dir):
     """Regions of the DNA view, segmented, with period and representative."""
     s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
-    regions = windows.regions(windows.singleton_score(windows.kmer_totals(windows.tiles(s, CFG.window), CFG.k), CFG.k), CFG.window, CFG.low_score)
-    return arrays.split_regions(regions, s, CFG)
+    return annotate.find(s, RANGES, annotate.saver(spark))[1]
 
 
 @query()
 def canonical_units(spark, sf_dir):
     u = unit_table(spark, sf_dir).select(F.col("unit_id").alias("start"), F.col("seq").alias("representative"))
-    return arrays.canonicalise(u, CFG, template_table(spark, sf_dir))
+    return arrays.canonicalise(u, RANGES[-1], template_table(spark, sf_dir))
 
 
 @query()

@@ -117,3 +117,20 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("seq_id string, seq string, length long").parquet(src)
     streaming.write_regions(stream, dst, str(tmp_path / "ck"), Config(max_repeat=200)).awaitTermination()
     assert {r.seq_id for r in spark.read.parquet(dst).collect()} == {"one", "two"}
+
+
+def test_arrays_of_all_periods(spark, tmp_path):
+    """The queries on arrays report periods of the whole range of Config, from short and long texts."""
+    rng = random.Random(11)
+
+    def text(n):
+        return "".join(rng.choices("abcd", k=n))  # mapped to a, c, g and t
+
+    docs = [(period, text(before) + text(period) * copies + text(before)) for period, copies, before in ((30, 20, 500), (90, 6, 200), (150, 6, 40), (400, 8, 1500), (900, 6, 1000))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in catalogue.split_arrays(spark, str(tmp_path)).collect():
+        found.setdefault(int(r.seqID), set()).add(r.top_N)
+    assert all(period in found.get(period, ()) for period, _ in docs), found
+    rows = catalogue.mapped_repeats(spark, str(tmp_path)).collect()
+    assert all(sum(int(r.seqID) == period and abs(r.width - period) <= 2 for r in rows) >= 3 for period, _ in docs)
