@@ -3,24 +3,28 @@
 Each round writes its edges to the shared folder, so lineage stays short and a lost executor costs one round at most.
 Nodes are compared by value; every node ends beside the smallest node that it can reach. Edges never meet on the driver.
 A node with very many neighbours is one join key: both sides of that join are written tables, so adaptive execution may
-split the key.
+split the key. Rounds go on until one changes nothing.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatloom.llm import common
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(a, b) of non-null longs; node, root: every node of an edge with the least node of its component."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """edges(a, b) of non-null longs; node, root: every node of an edge with the least node of its component. Raises where a given number of rounds does not settle it."""
     e = common.materialise(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges"
     )
     state = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components not settled after {rounds} rounds")
         # large star: a node's larger neighbours go to its least neighbour
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = common.materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "cc-least")

@@ -208,3 +208,10 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_components_unsettled(spark):
+    path = spark.createDataFrame([(i * 7919 % 501, (i + 1) * 7919 % 501) for i in range(500)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(path, rounds=1)
+    assert {r.root for r in graph.components(path).collect()} == {0}
