@@ -6,8 +6,8 @@ likelihood is the sum over all its segmentations (forward algorithm), a text's t
 posterior of the best language under equal priors. Words are runs of letters, cut after CUT letters; a letter that is no
 piece has a small fixed probability. Words are scored once for each distinct one of a block, and remembered.
 
-Training reads text and language only, from at most PER_LANGUAGE documents a language (those of least id hash among the
-documents of at most LONGEST_TEXT characters, of at most a thousand languages): this bound is fixed, so training costs the same at any size. Prediction
+Training reads text and language only, from at most PER_LANGUAGE documents a language (those of least id hash, of at
+most a thousand languages; of each the whole words within its first LONGEST_TEXT characters): this bound is fixed, so training costs the same at any size. Prediction
 reads every whole text.
 
 Null text, and text without a letter: language `und`, score 0. Rows are independent; ties of languages go to the first
@@ -167,7 +167,9 @@ class Model:
 
 def fit(df: DataFrame, model: str, text: str = "text", lang: str = "lang", id: str = "doc_id") -> Model:
     """Learns from df's rows with text and language; what reaches the driver is the bounded sample, drawn by the id's hash."""
-    known = df.select(df[text].alias("text"), df[lang].alias("lang"), F.xxhash64(df[id]).alias("rank")).where("text is not null and lang is not null").where(F.length("text") <= LONGEST_TEXT)
+    head = F.substring(df[text], 1, LONGEST_TEXT)
+    words = F.regexp_replace(head, r"[^\p{L}][\p{L}]*+$", " ")  # without the word that the end may cut
+    known = df.select(F.when(F.length(df[text]) > LONGEST_TEXT, words).otherwise(df[text]).alias("text"), df[lang].alias("lang"), F.xxhash64(df[id]).alias("rank")).where("text is not null and lang is not null")
     rows = common.draw(known, F.col("rank"), PER_LANGUAGE, "lang").select("lang", "text").collect()
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     languages = sorted({r["lang"] for r in rows})

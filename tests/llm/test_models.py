@@ -54,6 +54,14 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in language.predict(docs, language.fit(none, MODEL)).collect()} == {"und"}
 
 
+def test_language_of_long_documents_only(spark):
+    """A language that occurs only in documents over LONGEST_TEXT characters is learned and predicted."""
+    rows = [(i, "the cat sat on the mat and slept", "en") for i in range(20)] + [(20 + i, "der hund liegt unter dem tisch und schläft " * 600, "de") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(df, language.fit(df, MODEL)).join(df, "doc_id").collect()
+    assert len(got) == 23 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     rows = registry.QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
