@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made in local mode only: on a
+    cluster executors could not read each other's machine-local folders, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="repeatloom-")
         spark.sparkContext.setCheckpointDir(at)
@@ -42,27 +48,40 @@ def discard(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts may be long: Arrow batches between the JVM and Python hold at most 1000 rows, unless the session has less."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
+    """Texts may be long: Arrow batches between the JVM and Python hold at most 1000 rows and about 8 MB, unless the session has less."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
-def draw(rows: DataFrame, rank: Column, n: int, by: str | None = None, groups: int = 1000) -> DataFrame:
-    """At most n rows, or n of each of the `groups` largest groups of by: those of least rank, a uniform 64-bit hash.
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, and other stages run beside them."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def draw(rows: DataFrame, rank: Column, n: int, by: str | None = None) -> DataFrame:
+    """At most n rows, or n of each group of by: those of least rank, a uniform 64-bit hash.
 
     Groups are counted first, and rows whose hash lies far above what n rows need go where they are read, so what is
     shuffled is a few times n rows of each group, at any size of the corpus."""
     fine = 1 << 30
-    need = lambda count: min(fine, int(fine * (4 * n + 100) / max(count, 1)) + 1)
+    need = lambda count: F.least(F.lit(fine), F.floor(F.lit(fine * (4.0 * n + 100)) / F.greatest(count, F.lit(1))) + 1)
+    near = rows.withColumn("_rank", rank)
     if by is None:
-        cut = F.lit(need(rows.count()))
+        near = near.where(F.pmod("_rank", F.lit(fine)) < need(F.lit(rows.count())))
     else:
-        counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), by).limit(groups).collect()
-        if not counts:
-            return rows.limit(0)
-        cut = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r[by]), F.lit(need(r["n"])))]), F.col(by))
-    near = rows.withColumn("_rank", rank).where(F.pmod("_rank", F.lit(fine)) < cut)
+        counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_count"))  # one row for each group
+        near = near.join(counts, by).where(F.pmod("_rank", F.lit(fine)) < need(F.col("_count"))).drop("_count")
     order = Window.partitionBy(*([by] if by else [])).orderBy(F.pmod("_rank", F.lit(fine)), "_rank")
     return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_rank", "_place")
 

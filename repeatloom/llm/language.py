@@ -1,14 +1,15 @@
 """Language ID by segmentation-marginalised unigrams.
 
-A fixed public vocabulary gives the pieces (its strings of one to LONGEST letters, lower-cased). Each language has a
+A fixed public vocabulary gives the pieces (all its alphabetic strings, lower-cased). Each language has a
 probability for each piece, learned by expectation maximisation over all segmentations of the training words. A word's
 likelihood is the sum over all its segmentations (forward algorithm), a text's that of its words, and the score is the
-posterior of the best language under equal priors. Words are runs of letters, cut after CUT letters; a letter that is no
-piece has a small fixed probability. Words are scored once for each distinct one of a block, and remembered.
+posterior of the best language under equal priors. Words are whole runs of letters, however long (the forward sums are
+rescaled on the way, and long runs are read in chunks); a letter that is no piece has a small fixed probability. Words are
+scored once for each distinct one of a block, and those of up to REMEMBERED letters are remembered.
 
-Training reads text and language only, from at most PER_LANGUAGE documents a language (those of least id hash, of at
-most a thousand languages; of each the whole words within its first LONGEST_TEXT characters): this bound is fixed, so training costs the same at any size. Prediction
-reads every whole text.
+Training reads text and language only, from at most PER_LANGUAGE documents of each language (those of least id hash; of
+each the whole words within its first LONGEST_TEXT characters): this bound is fixed, so training costs the same at any size;
+there is no bound on the number of languages. Prediction reads every whole text.
 
 Null text, and text without a letter: language `und`, score 0. Rows are independent; ties of languages go to the first
 in alphabetical order. Without a training row every prediction is `und`. Empty table: no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from repeatloom.llm import common, vectext
 
-LONGEST, CUT = 6, 24
+REMEMBERED, CHUNK = 256, 16_384
 PER_LANGUAGE, LONGEST_TEXT = 400, 20_000
 ROUNDS, UNKNOWN, SMOOTH = 3, 1e-7, 0.05
 
@@ -35,90 +36,164 @@ def vocabulary(model: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     found = {sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    return sorted(p for p in found if p.isalpha() and len(p) <= LONGEST)
+    return sorted(p for p in found if p.isalpha())
 
 
 class Pieces:
-    """The vocabulary by hash, and the lattice of a set of words."""
+    """The vocabulary as a letter trie: transitions are exact, by (node, letter)."""
 
     def __init__(self, pieces: list[str]):
-        block = vectext.Block(pieces)
-        h = block.hashes(block.bounds[:-1], block.bounds[1:]) if pieces else np.zeros(0, np.uint64)
-        self.order = np.argsort(h)
-        self.keys, self.n = h[self.order], len(pieces)
-
-    def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list[list[np.ndarray]]]]:
-        """For each word length: positions in words, the length, and at [start][size - 1] each word's piece (n: none, n + 1: unknown letter)."""
-        block = vectext.Block(words)
-        lens, hashed = np.diff(block.bounds), block.hasher()
-        for length in np.unique(lens).tolist():
-            at = np.flatnonzero(lens == length)
-            base = block.bounds[at]
-            grid = []
-            for i in range(length):
-                row = []
-                for k in range(1, min(LONGEST, length - i) + 1):
-                    h = hashed(base + i, base + i + k)
-                    j = np.minimum(np.searchsorted(self.keys, h), self.n - 1)
-                    row.append(np.where(self.keys[j] == h, self.order[j], self.n + (k == 1)))
-                grid.append(row)
-            yield at, length, grid
-
-
-def forward(grid: list[list[np.ndarray]], length: int, probs: np.ndarray) -> list[np.ndarray]:
-    """At j: the summed probability of all segmentations of each word's first j letters, for each language."""
-    alpha = [np.ones((len(grid[0][0]), probs.shape[1]))] + [np.zeros((len(grid[0][0]), probs.shape[1])) for _ in range(length)]
-    for i in range(length):
-        for k, ids in enumerate(grid[i], 1):
-            alpha[i + k] += alpha[i] * probs[ids]
-    return alpha
+        nodes: dict[tuple[int, int], int] = {}
+        piece = [len(pieces)]  # of each node: its piece, or none
+        for i, p in enumerate(pieces):
+            at = 0
+            for c in p:
+                key = at, ord(c)
+                if key not in nodes:
+                    nodes[key] = len(piece)
+                    piece.append(len(pieces))
+                at = nodes[key]
+            piece[at] = i
+        keys = np.array([a << 21 | c for a, c in nodes], np.int64).reshape(-1)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.piece, self.n, self.longest = np.array(piece, np.int32), len(pieces), max([1, *map(len, pieces)])
+
+    def starts(self, cps: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """For each place of a run of letters with so much room to its end: the pieces of 1, 2, ... letters that begin there (n: none, n + 1: unknown letter)."""
+        out = np.full((len(cps), self.longest), self.n, np.int32)
+        at, node = np.arange(len(cps)), np.zeros(len(cps), np.int64)
+        for k in range(self.longest):
+            ok = room[at] > k
+            at, node = at[ok], node[ok]
+            if not len(at) or not len(self.keys):
+                break
+            key = node << 21 | cps[at + k].astype(np.int64)
+            j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[j] == key
+            at, node = at[ok], self.to[j[ok]]
+            out[at, k] = self.piece[node]
+        out[:, 0] = np.where(out[:, 0] == self.n, self.n + 1, out[:, 0])
+        return out
+
+    def batches(self, words: list[str], groups: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of like length: positions in words, lengths, and pieces by (word, place, letters); past a word's end there is none.
+        A batch is small enough for arrays over its places and that many groups."""
+        most = 3_000_000 // max(self.longest, 4 * groups)
+        lens = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lens, kind="stable")
+        a = 0
+        while a < len(order):
+            least, b = lens[order[a]], a
+            while b < len(order) and lens[order[b]] <= least + least // 16 and (b - a + 1) * lens[order[b]] <= most:
+                b += 1
+            own = order[a : max(b, a + 1)]
+            n = int(lens[own].max())
+            block = vectext.Block([words[i] for i in own])
+            size = lens[own]
+            place, _, _ = vectext.spread(block.bounds[:-1], size)
+            flat = self.starts(block.cps, np.repeat(size, size) - place)
+            ids = np.full((len(own), n, self.longest), self.n, np.int32)
+            ids[np.repeat(np.arange(len(own)), size), place] = flat
+            some = np.flatnonzero((ids[:, :, 1:] != self.n).any(axis=(0, 1)))
+            yield own, size, ids[:, :, : (int(some[-1]) + 2 if len(some) else 1)]
+            a = max(b, a + 1)
+
+
+def _scaled(window: np.ndarray, log: np.ndarray) -> None:
+    """Divides what later places read by its greatest value, which goes into log."""
+    top = window.max(axis=1)
+    top[top == 0] = 1.0
+    window /= top[:, None]
+    log += np.log(top)
+
+
+def forward(ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """(word, place, language): the logarithm of the summed probability of all segmentations of the letters before the place."""
+    count, n, longest = ids.shape
+    a = np.zeros((count, n + 1, probs.shape[1]))
+    a[:, 0] = 1
+    out, log = np.full_like(a, -np.inf), np.zeros((count, probs.shape[1]))
+    out[:, 0] = 0
+    with np.errstate(divide="ignore"):
+        for j in range(1, n + 1):
+            k = np.arange(1, min(longest, j) + 1)
+            a[:, j] = (a[:, j - k] * probs[ids[:, j - k, k - 1]]).sum(axis=1)
+            out[:, j] = np.log(a[:, j]) + log
+            if j % 8 == 0:
+                _scaled(a[:, max(0, j - longest + 1) : j + 1], log)
+    return out
+
+
+def backward(ids: np.ndarray, lens: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """(word, place, language): likewise of the letters from the place on."""
+    count, n, longest = ids.shape
+    b = np.zeros((count, n + longest + 1, probs.shape[1]))
+    out, log = np.full((count, n + 1, probs.shape[1]), -np.inf), np.zeros((count, probs.shape[1]))
+    k = np.arange(longest)
+    with np.errstate(divide="ignore"):
+        for i in range(n, -1, -1):
+            if i < n:
+                b[:, i] = (b[:, i + 1 + k] * probs[ids[:, i, k]]).sum(axis=1)
+            b[lens == i, i] = 1
+            out[:, i] = np.log(b[:, i]) + log
+            if i % 8 == 0:
+                _scaled(b[:, i : i + longest], log)
+    return out
+
+
+def long_word(cps: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """The log likelihood of one run of letters of any length, for each language; CHUNK places at a time."""
+    reach = pieces.longest
+    k = np.arange(1, reach + 1)
+    a, log = np.zeros((reach + CHUNK, probs.shape[1])), np.zeros((1, probs.shape[1]))
+    a[reach - 1] = 1
+    before = np.full((reach, reach), pieces.n, np.int32)  # the pieces of the places before the chunk
+    for c in range(0, len(cps), CHUNK):
+        part = cps[c : c + CHUNK + reach]
+        here = min(CHUNK, len(cps) - c)
+        ids = np.concatenate([before, pieces.starts(part, np.arange(len(part), 0, -1))[:here]])
+        for j in range(reach + 1, reach + here + 1):  # the place after letter j - 1 of ids is row j - 1 of a
+            a[j - 1] = (a[j - 1 - k] * probs[ids[j - k, k - 1]]).sum(axis=0)
+            if j % 8 == 0:
+                _scaled(a[None, j - reach : j], log)
+        before = ids[here : here + reach]
+        a[:reach] = a[here : here + reach]
+    return (np.log(a[reach - 1]) + log[0]) if len(cps) else np.zeros(probs.shape[1])
 
 
 def train(words: list[str], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Probabilities (pieces and two more rows: none, unknown) x languages, from distinct words and their counts in each language."""
     groups = counts.shape[1]
-    lattice = list(pieces.lattice(words)) if words else []
 
     def settled(expected: np.ndarray) -> np.ndarray:
         p = expected[: pieces.n] + SMOOTH
         p = p / p.sum(axis=0)
         return np.vstack([p, np.zeros((1, groups)), np.full((1, groups), UNKNOWN)])
 
+    def add(expected: np.ndarray, ids: np.ndarray, flow: np.ndarray) -> None:
+        for g in range(groups):
+            expected[:, g] += np.bincount(ids.ravel(), flow[..., g].ravel(), pieces.n + 2)
+
     expected = np.zeros((pieces.n + 2, groups))
-    for at, _, grid in lattice:  # to begin with: how often each piece occurs at all
-        for row in grid:
-            for ids in row:
-                for g in range(groups):
-                    expected[:, g] += np.bincount(ids, counts[at, g], pieces.n + 2)
+    for at, _, ids in pieces.batches(words, groups):  # to begin with: how often each piece occurs at all
+        for k in range(ids.shape[2]):
+            add(expected, ids[:, :, k], np.broadcast_to(counts[at][:, None], (*ids.shape[:2], groups)))
     probs = settled(expected)
     for _ in range(ROUNDS):
         expected = np.zeros((pieces.n + 2, groups))
-        for at, length, grid in lattice:
-            alpha = forward(grid, length, probs)
-            weight = counts[at] / alpha[length]
-            beta = [np.zeros_like(alpha[0]) for _ in range(length)] + [np.ones_like(alpha[0])]
-            for i in range(length - 1, -1, -1):
-                for k, ids in enumerate(grid[i], 1):
-                    step = probs[ids] * beta[i + k]
-                    beta[i] += step
-                    flow = alpha[i] * step * weight
-                    for g in range(groups):
-                        expected[:, g] += np.bincount(ids, flow[:, g], pieces.n + 2)
+        for at, lens, ids in pieces.batches(words, groups):
+            fw, bw = forward(ids, probs), backward(ids, lens, probs)
+            total = fw[np.arange(len(at)), lens]
+            n = ids.shape[1]
+            for k in range(min(ids.shape[2], n)):
+                from_, to = fw[:, : n - k], bw[:, k + 1 : n + 1]
+                flow = np.exp(np.minimum(from_ + to - total[:, None], 700)) * probs[ids[:, : n - k, k]] * counts[at][:, None]
+                add(expected, ids[:, : n - k, k], flow)
         probs = settled(expected)
     return probs
 
 
-def spans(block: vectext.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of at most CUT letters, and the lower-cased code points."""
-    starts, ends, low = vectext.letter_words(block)
-    if len(starts) and (ends - starts).max() > CUT:
-        n = -(-(ends - starts) // CUT)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts, ends = np.repeat(starts, n) + k * CUT, np.repeat(ends, n)
-        ends = np.minimum(ends, starts + CUT)
-    return starts, ends, low
-
-
 class Model:
     """Languages and piece probabilities; predicts blocks."""
 
@@ -134,29 +209,27 @@ class Model:
 
     def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((len(words), len(self.languages)))
-        for at, length, grid in self.pieces.lattice(words):
-            for a in range(0, len(at), 20_000):
-                part = slice(a, a + 20_000)
-                out[at[part]] = np.log(forward([[x[part] for x in row] for row in grid], length, self.probs)[length])
-        return out.astype(np.float32).ravel(), np.full(len(words), len(self.languages), np.int32)
+        for at, lens, ids in self.pieces.batches(words, len(self.languages)):
+            out[at] = forward(ids, self.probs)[np.arange(len(at)), lens]
+        return out.ravel(), np.full(len(words), len(self.languages), np.int32)
 
     def predict(self, block: vectext.Block) -> tuple[list[str], np.ndarray]:
-        if self.memo is None:
+        if self.memo is None and self.languages:
             self.pieces = Pieces(self.strings)
-            self.memo = vectext.Memo(self._score, np.float32, 600_000)
+            self.memo = vectext.Memo(self._score, np.float64, max(1000, 1_200_000 // len(self.languages)))
         n, groups = len(block), len(self.languages)
-        starts, ends, low = spans(block)
+        starts, ends, low = vectext.letter_words(block)
         offsets = block.offsets(starts)
         if not groups:
             return ["und"] * n, np.zeros(n)
-        text = low.tobytes().decode("utf-32-le", "surrogatepass")
-        h = block.hashes(starts, ends, low)
-        uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        index = self.memo.lookup(uniq, lambda i: [text[a:b] for a, b in zip(starts[first[i]].tolist(), ends[first[i]].tolist())])
-        values = self.memo.flat[self.memo.starts[index][:, None] + np.arange(groups)].astype(np.float64)
-        total = np.empty((n, groups))
+        short = ends - starts <= REMEMBERED
+        index = self.memo.of_tokens(block, starts[short], ends[short], low)
+        total, value = np.empty((n, groups)), np.zeros(len(starts))
         for g in range(groups):
-            total[:, g] = vectext.doc_sums(values[inv, g], offsets)
+            value[short] = self.memo.flat[self.memo.starts[index] + g]
+            total[:, g] = vectext.doc_sums(value, offsets)
+        for i in np.flatnonzero(~short).tolist():
+            total[np.searchsorted(block.bounds, starts[i], side="right") - 1] += long_word(low[starts[i] : ends[i]], self.pieces, self.probs)
         total -= total.max(axis=1, keepdims=True)
         post = np.exp(total)
         post /= post.sum(axis=1, keepdims=True)
@@ -177,7 +250,7 @@ def fit(df: DataFrame, model: str, text: str = "text", lang: str = "lang", id: s
     entries: list[tuple[int, int]] = []
     for g, name in enumerate(languages):
         for block in vectext.blocks([r["text"] for r in rows if r["lang"] == name]):
-            starts, ends, low = spans(block)
+            starts, ends, low = vectext.letter_words(block)
             low_text = low.tobytes().decode("utf-32-le", "surrogatepass")
             entries += [(where.setdefault(low_text[a:b], len(where)), g) for a, b in zip(starts.tolist(), ends.tolist())]
     counts = np.zeros((len(where), len(languages)))

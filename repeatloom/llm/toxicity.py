@@ -48,8 +48,8 @@ def sentences(block: vectext.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     head = np.flatnonzero(new)
     sentence = np.cumsum(new) - 1
     tail = np.append(head[1:], len(starts)) - 1 if len(head) else head
-    hashed = block.hasher(low)
-    features = [hashed(starts, ends)] + [vectext.mix(hashed(starts, np.minimum(starts + n, ends)) + np.uint64(n)) for n in (4, 6)]
+    whole, *heads = block.hashes(starts, ends, low, heads=(4, 6))
+    features = [whole] + [vectext.mix(h + np.uint64(n)) for h, n in zip(heads, (4, 6))]
     return starts[head], ends[tail] if len(head) else head, doc[head], sentence, features
 
 

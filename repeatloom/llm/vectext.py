@@ -2,7 +2,7 @@
 
 A block holds some documents' texts end to end. Segmenters return token starts and ends in code points; each token
 gets a 64-bit hash, so that work on tokens is done once for each distinct token of a block, and Memo keeps results
-across blocks. Memory is bounded by BLOCK characters (or one longer document) and Memo's capacity.
+across blocks; the hash only finds a token's entry, its characters decide. Memory is bounded by BLOCK characters (or one longer document) and Memo's capacity.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from functools import lru_cache
 import numpy as np
 
 BLOCK = 1_000_000
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -25,20 +23,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_pows: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_kept: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pows[0]) < n:
-        size = max(n, BLOCK + 1)
-        for k, base in enumerate((_P, _PINV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _pows[k] = np.multiply.accumulate(a)
-    got = _pows[0][:n], _pows[1][:n]
-    if n > 4 * BLOCK:  # not kept for one very long text
-        _pows[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-    return got
+def _weights(n: int) -> np.ndarray:
+    """A pseudo-random 64-bit weight for each place in a token. Not powers of one base, under which whole families of texts fall together."""
+    if len(_kept[0]) >= n:
+        return _kept[0][:n]
+    out = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if n <= BLOCK:  # not kept for one very long text
+        _kept[0] = out
+    return out[:n]
+
+
+def spread(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For spans laid end to end: each character's place in its span, its place in the text, and where the spans begin (and end)."""
+    marks = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(lens, out=marks[1:])
+    every = np.arange(int(marks[-1]))
+    place = every - np.repeat(marks[:-1], lens)
+    return place, place + np.repeat(starts, lens), marks
 
 
 class Block:
@@ -53,28 +57,24 @@ class Block:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def hasher(self, cps: np.ndarray | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """A function (starts, ends) -> 64-bit hashes of these spans' code points; cps stands in for the block's own (say, lower-cased)."""
-        cps = self.cps if cps is None else cps
-        pw, inv = _powers(len(cps) + 1)
-        sums = np.zeros(len(cps) + 1, np.uint64)
-        h = (cps.astype(np.uint64) + np.uint64(1)) * _M3
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None, heads: tuple[int, ...] = ()):
+        """64-bit hashes of the spans' code points (a sum of characters times random weights by place); cps stands in for the
+        block's own (say, lower-cased). With heads: a list of these and of the hashes of each span's first so many characters."""
+        cps, lens = self.cps if cps is None else cps, ends - starts
+        place, at, marks = spread(starts, lens)
+        h = (cps[at].astype(np.uint64) + np.uint64(1)) * _M3
+        del at
         h ^= h >> np.uint64(29)
-        h *= pw[:-1]
+        h *= _weights(int(lens.max()) if len(lens) else 0)[place]
+        sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h, out=sums[1:])
-        return lambda starts, ends: mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _M2)
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None) -> np.ndarray:
-        return self.hasher(cps)(starts, ends)
+        out = [mix(sums[marks[:-1] + n] - sums[marks[:-1]] + n.astype(np.uint64) * _M2) for n in (lens, *(np.minimum(lens, k) for k in heads))]
+        return out if heads else out[0]
 
     def offsets(self, starts: np.ndarray) -> np.ndarray:
         """For sorted token starts: each document's first token, and the number of tokens."""
         return np.searchsorted(starts, self.bounds)
 
-    def words(self, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-        text = self.text
-        return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-
 
 def blocks(texts: Iterable[str | None], size: int = BLOCK, prefix: str = "") -> Iterator[Block]:
     """Blocks of whole documents in order; a null is an empty text. prefix goes before each text."""
@@ -191,11 +191,14 @@ def letter_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Memo:
-    """Results by token hash, across blocks. compute(words) gives a list of 1-D arrays; lookup() gives an index for each
-    distinct hash into starts/lens over the flat values. It empties itself beyond capacity entries, so memory is bounded."""
+    """Results by token, across blocks. compute(words) gives the flat values of all words and each word's number of values.
+    Tokens are looked up by hash and then compared character by character with the token that the entry was made for; those
+    that only share its hash are looked up by their text. It empties itself beyond capacity entries (or TEXT characters of
+    them), so memory is bounded by these and by one block."""
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, capacity: int = 700_000):
-        """compute gives the flat values of all words and each word's number of values."""
+    TEXT = 8_000_000
+
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, capacity: int = 500_000):
         self.compute, self.dtype, self.capacity = compute, dtype, capacity
         self.clear()
 
@@ -205,6 +208,9 @@ class Memo:
         self.n = 0
         self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, self.dtype), 0
+        self.text, self.written = np.zeros(4096, np.uint32), 0
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.odd: dict[str, int] = {}
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -214,10 +220,26 @@ class Memo:
         out[: len(a)] = a
         return out
 
+    def _add(self, words: list[str]) -> np.ndarray:
+        """New entries for these words."""
+        flat, lens = self.compute(words)
+        n, used = self.n + len(words), self.used + len(flat)
+        self.starts, self.lens, self.flat = self._room(self.starts, n), self._room(self.lens, n), self._room(self.flat, used)
+        self.lens[self.n : n] = lens
+        self.starts[self.n : n] = self.used + np.cumsum(lens) - lens
+        self.flat[self.used : used] = flat
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(w) for w in words], np.int64)
+        self.begin, self.size, self.text = self._room(self.begin, n), self._room(self.size, n), self._room(self.text, self.written + len(chars))
+        self.size[self.n : n] = size
+        self.begin[self.n : n] = self.written + np.cumsum(size) - size
+        self.text[self.written : self.written + len(chars)] = chars
+        new = np.arange(self.n, n)
+        self.n, self.used, self.written = n, used, self.written + len(chars)
+        return new
+
     def lookup(self, uniq: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> np.ndarray:
         """uniq: sorted distinct hashes; words(i) gives the tokens at positions i of uniq."""
-        if self.n > self.capacity:
-            self.clear()
         out = np.full(len(uniq), -1, np.int64)
         for keys, ids in zip(self.keys, self.ids):
             if len(keys):
@@ -226,15 +248,8 @@ class Memo:
                 out[hit] = ids[at[hit]]
         miss = np.flatnonzero(out < 0)
         if len(miss):
-            flat, lens = self.compute(words(miss))
-            n, used = self.n + len(miss), self.used + len(flat)
-            self.starts, self.lens, self.flat = self._room(self.starts, n), self._room(self.lens, n), self._room(self.flat, used)
-            self.lens[self.n : n] = lens
-            self.starts[self.n : n] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : used] = flat
-            new = np.arange(self.n, n)
+            new = self._add(words(miss))
             out[miss] = new
-            self.n, self.used = n, used
             k, i = np.concatenate([self.keys[1], uniq[miss]]), np.concatenate([self.ids[1], new])
             if len(k) > 60_000:
                 k, i = np.concatenate([self.keys[0], k]), np.concatenate([self.ids[0], i])
@@ -245,11 +260,29 @@ class Memo:
                 self.keys[1], self.ids[1] = k[o], i[o]
         return out
 
-    def of_tokens(self, block: Block, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
-        """The memo's index for each token."""
-        h = block.hashes(starts, ends) if hashes is None else hashes
-        uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        return self.lookup(uniq, lambda i: block.words(starts[first[i]], ends[first[i]]))[inv]
+    def of_tokens(self, block: Block, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None) -> np.ndarray:
+        """The memo's index for each token; cps stands in for the block's own characters."""
+        if self.n > self.capacity or self.written > self.TEXT:
+            self.clear()
+        if cps is None:
+            cps, text = block.cps, block.text
+        else:
+            text = cps.tobytes().decode("utf-32-le", "surrogatepass")
+        words = lambda i: [text[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())]
+        uniq, first, inv = np.unique(block.hashes(starts, ends, cps), return_index=True, return_inverse=True)
+        index = self.lookup(uniq, lambda i: words(first[i]))[inv]
+        lens = ends - starts
+        other = np.flatnonzero(self.size[index] != lens)
+        shared = np.minimum(self.size[index], lens)
+        place, at, marks = spread(starts, shared)
+        differ = cps[at] != self.text[place + np.repeat(self.begin[index], shared)]
+        if differ.any():
+            other = np.union1d(other, np.searchsorted(marks, np.flatnonzero(differ), side="right") - 1)
+        for i, word in zip(other.tolist(), words(other)):
+            if word not in self.odd:
+                self.odd[word] = int(self._add([word])[0])
+            index[i] = self.odd[word]
+        return index
 
     def expand(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of the indexed entries end to end, and each one's number."""

@@ -2,10 +2,12 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -19,26 +21,82 @@ SF = "/root/testdata/sf0.01"
 MODEL = P.path("piece_bpe_32k.model")
 
 
-def test_forward_sums_all_segmentations():
-    pieces = language.Pieces(["a", "b", "ab", "ba", "aba"])
-    probs = np.vstack([np.random.default_rng(0).random((5, 2)), np.zeros((1, 2)), np.full((1, 2), 1e-7)])
-    names = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
-
-    def slow(w):
+PARTS = ["a", "b", "ab", "ba", "aba", "bababa"]
+
+
+def slow_forward(w, probs):
+    """All segmentations by recursion over the first piece, from the end; logarithms."""
+    names = {p: i for i, p in enumerate(PARTS)}
+    done = [[1] * probs.shape[1]]  # of the empty rest; exact numbers cannot underflow
+    for i in range(len(w) - 1, -1, -1):
+        out = [0] * probs.shape[1]
+        for k in range(1, len(w) - i + 1):
+            piece = w[i : i + k]
+            if piece in names or k == 1:
+                p = probs[names[piece] if piece in names else len(PARTS) + 1]
+                out = [o + Fraction(x) * d for o, x, d in zip(out, p.tolist(), done[-k])]
+        done.append(out)
+    return [math.log(x.numerator) - math.log(x.denominator) for x in done[-1]]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    pieces = language.Pieces(PARTS)
+    probs = np.vstack([np.random.default_rng(0).random((6, 2)), np.zeros((1, 2)), np.full((1, 2), 1e-7)])
+    rng = random.Random(0)
+    words = ["a", "ab", "aba", "abba", "abcab", "bbbb", "c"] + ["".join(rng.choices("abc", [8, 8, 1], k=rng.randint(30, 200))) for _ in range(12)]
+    seen = set()
+    for at, lens, ids in pieces.batches(words, 2):
+        fw, bw = language.forward(ids, probs), language.backward(ids, lens, probs)
+        for i, n, value, back in zip(at.tolist(), lens.tolist(), fw, bw):
+            seen.add(i)
+            assert n == len(words[i]) and value[n] == pytest.approx(slow_forward(words[i], probs)) and back[0] == pytest.approx(value[n])
+    assert len(seen) == len(words)
+    monkeypatch.setattr(language, "CHUNK", 7)
+    for w in words:
+        assert language.long_word(np.array([ord(c) for c in w]), pieces, probs) == pytest.approx(slow_forward(w, probs))
+
+
+def test_training_counts_expected_pieces():
+    """One round of expectation maximisation against all segmentations, one by one."""
+    pieces, words, counts = language.Pieces(PARTS), ["abab", "bababa", "aab", "cab"], np.array([[2.0, 0], [1, 3], [0, 1], [1, 1]])
+
+    def ways(w):
         if not w:
-            return np.ones(2)
-        out = np.zeros(2)
-        for k in range(1, min(len(w), language.LONGEST) + 1):
-            if w[:k] in names:
-                out += probs[names[w[:k]]] * slow(w[k:])
-            elif k == 1:
-                out += probs[6] * slow(w[1:])
-        return out
-
-    words = ["a", "ab", "aba", "abba", "abcab", "bbbb", "c"]
-    for at, length, grid in pieces.lattice(words):
-        for i, value in zip(at, language.forward(grid, length, probs)[length]):
-            assert value == pytest.approx(slow(words[i]))
+            return [[]]
+        return [[PARTS.index(w[:k]) if w[:k] in PARTS else len(PARTS) + 1, *rest] for k in range(1, len(w) + 1) if w[:k] in PARTS or k == 1 for rest in ways(w[k:])]
+
+    def settled(e):
+        p = e[: len(PARTS)] + language.SMOOTH
+        return np.vstack([p / p.sum(axis=0), np.zeros((1, 2)), np.full((1, 2), language.UNKNOWN)])
+
+    e = np.zeros((len(PARTS) + 2, 2))
+    for w, c in zip(words, counts):
+        for i in range(len(w)):
+            for k in range(1, len(w) - i + 1):
+                if w[i : i + k] in PARTS:
+                    e[PARTS.index(w[i : i + k])] += c
+    probs = settled(e)
+    for _ in range(language.ROUNDS):
+        e = np.zeros((len(PARTS) + 2, 2))
+        for w, c in zip(words, counts):
+            for g in range(2):
+                p = np.array([np.prod(probs[x, g]) for x in ways(w)])
+                for x, share in zip(ways(w), p / p.sum()):
+                    np.add.at(e[:, g], x, share * c[g])
+        probs = settled(e)
+    assert np.allclose(language.train(words, counts, pieces), probs)
+
+
+def test_language_has_no_cut_and_no_cap(spark):
+    """Runs of letters of any length are scored whole, and more than a thousand languages are learned."""
+    long = "".join(random.Random(1).choices("abcdefgh", k=100_000))
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", f"l{i:04d}") for i in range(1100)] + [(5000, long, "zz"), (5001, long[::-1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where("doc_id < 60 or doc_id >= 5000"), MODEL)
+    got = {r.doc_id: r.lang_pred for r in language.predict(df.where("doc_id >= 5000"), model).collect()}
+    assert got == {5000: "zz", 5001: "zz"}
+    counted = common.draw(df.where("lang is not null"), F.xxhash64("doc_id"), 3, "lang").select("lang").distinct().count()
+    assert counted == 1101
 
 
 def test_language(spark, docs, none):
