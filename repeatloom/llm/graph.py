@@ -17,7 +17,8 @@ from repeatloom.llm import common
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """edges(a, b) of non-null longs; node, root: every node of an edge with the least node of its component. Raises where a given number of rounds does not settle it."""
+    """edges(a, b) of non-null longs; node, root: every node of an edge with the least node of its component, as a written
+    table (common.discard removes it). Raises where a given number of rounds does not settle it."""
     e = common.materialise(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges"
     )
@@ -42,4 +43,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if tuple(new) == state:
             break
         state = tuple(new)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = common.materialise(out, "cc-nodes")
+    common.discard(e)
+    return out

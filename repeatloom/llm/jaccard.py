@@ -1,22 +1,29 @@
 """N-gram Jaccard self-join by prefix trees, to connected components.
 
-1. Each text becomes its set of five-word shingles, hashed to 64 bits; the set has a 64-bit key of its own, so equal
-   sets are one item from here on and copies are never compared.
-2. Shingles are dealt by hash range, packed, to count in how many sets each occurs. A shingle is of use only if it also
-   occurs in a set of a size that can reach the threshold with this one. All others are dropped here; they count in the
-   set's size alone.
+1. Each text becomes its set of five-word shingles, hashed to 64 bits; the set has a 128-bit key, so equal sets are one
+   item and copies are never compared. The same pass names the shingles that a good share of some run of sets has; the
+   HOTTEST of them with the greatest counts, a table of fixed size, are common: every set may use them, and they are not dealt.
+2. The other shingles (and each set's key, so that one run alone goes on with a set) are dealt by hash range to count in how many sets each occurs, one range a task. A shingle is of use
+   only if it also occurs in a set of a size that can reach the threshold with this one; the answer goes back to the run
+   of sets (flush) that asked. Useless shingles count in the set's size alone.
 3. Items whose useful shingles are too few to reach the threshold are alone. The others order their shingles globally:
-   by number of sets, then hash (rare first). Two items that link share one of the first size - ceil(t * size) + 1.
-   Items that share such a prefix shingle, directly or in a chain, form a family; families hold all links.
-4. A family is cut into blocks of BLOCK items, and each pair of blocks (a block with itself too) is one cell. Small
-   families share cells. In a cell one block's sets are stored in a prefix tree, ordered from the family's most common
-   shingle, so shared beginnings are stored and counted once. The other block's items go down it together: at an edge
-   each gains its overlap with the edge's shingles, and drops out of the subtree when the overlap so far plus the
-   most that can remain is below what a link needs, or when the subtree has no item of a size it can link with.
-5. Links of a cell are reduced to a spanning forest; components of all forests are the result.
-
-No pair is dropped: there is no cap on partners, candidates or families; a family of m items takes (m / BLOCK)^2 / 2 cells,
-dealt over all tasks. Nothing is collected on the driver.
+   by number of sets (in quarter octaves; common ones last), then hash. An item's shingle is a 64-bit code: 8 bits of
+   rank, 56 of hash. Two items that link share one of the first size - ceil(t * size) + 1 codes.
+4. Comparing a group of items: items are blocked by size and hash, and only blocks of sizes that can link meet. In such a
+   cell one block's sets are stored in a prefix tree in the global order, common shingles first, so shared beginnings are
+   stored and counted once. The other block's items go down it together: at an edge each gains its overlap with the
+   edge's shingles, and drops out of the subtree when the overlap so far plus the most that can remain is below what a
+   link needs, when no size below it can link, or when all items below are known to be connected with it.
+5. Items that share prefix shingles meet first in blocks, then one item of each component found so far, so that large
+   groups of near copies become one component early. A prefix shingle all of whose items are in one component is closed.
+   What is left is exact: the items of every open shingle are compared as a group of their own (shingles with the same
+   items once), or all open items of a family (chained by open shingles) as one, whichever moves less.
+6. Links of a cell are reduced to a spanning forest; components of all forests are the result.
+
+No pair is dropped: there is no cap on partners, candidates or groups; m items that share a shingle and do not link take at
+most (m / BLOCK)^2 / 2 cells, dealt over all tasks. Nothing of the corpus but the fixed table of common shingles is collected
+on the driver. A cell holds at most two blocks of BLOCK items or about CELL shingles, but at least two items: memory follows
+the longest two texts that may link, not the groups.
 
 Null text, and texts without words, have no shingles: size 0, linked with nothing, component_id their own id. Texts of one
 to four words have one shingle, the whole sequence. Null ids: the component of a null id alone is null. Rows that
@@ -25,23 +32,26 @@ repeat an id or text keep their rows. Other columns are not read. Empty table: n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm import common, graph, vectext
 
 WORDS, NUM, DEN = 5, 75, 100
-BLOCK = 128
-FLUSH = 600_000  # shingles held before they are dealt
-PART = 2_000_000  # shingles of one part
-SEEN = 200_000  # sets remembered in a task, to deal a copy's shingles only once
+BLOCK, CELL = 128, 400_000  # items of a block, shingles of a block
+FLUSH = 500_000  # shingles of a run of sets
+PART = 1_000_000  # shingles of a range
+SHARE, HOTTEST = 128, 100_000  # common: in one of so many sets of some run; at most so many
 
 _SALT = np.uint64(0xA0761D6478BD642F)
+_HASH = np.uint64((1 << 56) - 1)
 
 
 @lru_cache(maxsize=1)
@@ -54,7 +64,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(block: vectext.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document in ascending order end to end, the documents' bounds in them, and set keys."""
+    """Distinct shingle hashes of each document in ascending order end to end, the documents' bounds in them, and 128-bit set keys (two columns)."""
     lower, space = _tables()
     cps = block.cps.copy()
     ascii_ = cps < 128
@@ -64,7 +74,6 @@ def shingles(block: vectext.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = vectext.spans_of(block, word)
     w = block.hashes(starts, ends, cps)
     at = np.searchsorted(starts, block.bounds)
-    n = np.diff(at)
     m = np.uint64(0x9FB21C651E98DF25)
     if len(w) >= WORDS:
         h = w[: len(w) - WORDS + 1]
@@ -90,200 +99,296 @@ def shingles(block: vectext.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bounds = np.zeros(len(sets) + 1, np.int64)
     np.cumsum([len(s) for s in sets], out=bounds[1:])
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    keys = vectext.mix(vectext.doc_sums(vectext.mix(flat ^ m), bounds) + np.diff(bounds).astype(np.uint64))
-    return flat, bounds, keys.view(np.int64)
+    size = np.diff(bounds).astype(np.uint64)
+    keys = [vectext.mix(vectext.doc_sums(vectext.mix(flat * m ^ salt), bounds) + size) for salt in (m, _SALT)]
+    return flat, bounds, np.stack(keys, axis=1)
+
+
+class Run:
+    """Distinct sets of some documents, held until they have FLUSH shingles."""
+
+    def __init__(self):
+        self.tokens, self.keys, self.sizes, self.seen, self.n = [], [], [], set(), 0
+
+    def add(self, flat: np.ndarray, bounds: np.ndarray, keys: np.ndarray) -> None:
+        sizes = np.diff(bounds)
+        fresh = np.zeros(len(keys), bool)
+        for i, k in enumerate(map(tuple, keys.tolist())):
+            if sizes[i] and k not in self.seen:
+                fresh[i] = True
+                self.seen.add(k)
+        self.tokens.append(flat[np.repeat(fresh, sizes)])
+        self.keys.append(keys[fresh])
+        self.sizes.append(sizes[fresh])
+        self.n += len(self.tokens[-1])
+
+    @property
+    def full(self) -> bool:
+        return self.n >= FLUSH or len(self.seen) > 60_000  # sets of a run are numbered in 16 bits
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.concatenate(self.tokens), np.concatenate(self.keys), np.concatenate(self.sizes)
+        self.__init__()
+        return out
+
+
+def _runs(blocks: Iterator[vectext.Block]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingles, keys, sizes) of runs of distinct sets; a block of more sets than a run numbers is cut."""
+    run = Run()
+    for block in blocks:
+        flat, bounds, keys = shingles(block)
+        for a in range(0, len(keys), 4000):
+            b = min(a + 4000, len(keys))
+            run.add(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], keys[a:b])
+            if run.full:
+                yield run.take()
+    if run.n:
+        yield run.take()
+
+
+def _members(df: DataFrame, text: str, id: str) -> DataFrame:
+    """id, k1, k2 (the set's key), n_shingles; and rows (token, n) for shingles that n sets of a run have, one in SHARE at least."""
+    names = ["id", "k1", "k2", "n_shingles", "token", "n"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind = Run(), None
 
-def set_keys(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, key (of the shingle set), n_shingles."""
+        def common_ones() -> pa.RecordBatch:
+            tokens, _, sizes = held.take()
+            t, n = np.unique(tokens, return_counts=True)
+            often = n >= max(4, -(-len(sizes) // SHARE))
+            return pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), kind), *[pa.nulls(int(often.sum()), pa.int64())] * 3, pa.array(t[often].view(np.int64)), pa.array(n[often])], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
+            at, kind = 0, b.schema.field(0).type
             for block in vectext.blocks(vectext.texts(b.column(1))):
-                _, bounds, keys = shingles(block)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(keys), pa.array(np.diff(bounds))], names=["id", "key", "n_shingles"])
+                flat, bounds, keys = shingles(block)
+                k = keys.view(np.int64)
+                nothing = pa.nulls(len(block), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(np.diff(bounds)), nothing, nothing], names=names)
                 at += len(block)
+                held.add(flat, bounds, keys)
+                if held.full:
+                    yield common_ones()
+        if held.n:
+            yield common_ones()
+        common.release()
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, key long, n_shingles long")
-
-
-def _dealt(df: DataFrame, text: str, parts: int) -> DataFrame:
-    """part, packed: for each range of shingle hashes (key, size, number) of sets and their shingles in the range."""
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        tokens = np.concatenate([t for t, _, _ in held])
-        keys, sizes = np.concatenate([k for _, k, _ in held]), np.concatenate([n for _, _, n in held])
-        doc = np.repeat(np.arange(len(keys)), sizes)
-        part = (vectext.mix(tokens ^ _SALT) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, tokens, doc = part[order], tokens[order], doc[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        rows = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
-            d = doc[a:b]
-            first = np.flatnonzero(np.diff(d, prepend=-1))
-            head = np.empty(len(first), _HEAD)
-            head["key"], head["size"], head["n"] = keys[d[first]], sizes[d[first]], np.diff(np.append(first, b - a))
-            rows.append((int(part[a]), _pack(head, tokens[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())))
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "packed"])
+    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, k1 long, k2 long, n_shingles long, token long, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, set()
-        for b in batches:
-            for block in vectext.blocks(vectext.texts(b.column(0))):
-                flat, bounds, keys = shingles(block)
-                sizes = np.diff(bounds)
-                fresh = np.zeros(len(keys), bool)
-                for i, k in enumerate(keys.tolist()):
-                    if sizes[i] and k not in seen:
-                        fresh[i] = True
-                        seen.add(k)
-                if len(seen) > SEEN:
-                    seen.clear()
-                held.append((flat[np.repeat(fresh, sizes)], keys[fresh], sizes[fresh]))
-                n += len(held[-1][0])
-                if n >= FLUSH:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
 
-    return df.select(df[text]).mapInArrow(run, "part int, packed binary")
+def set_keys(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """id, k1, k2, n_shingles."""
+    return _members(df, text, id).where("token is null").drop("token", "n")
 
 
-_HEAD = np.dtype([("key", "<i8"), ("size", "<u4"), ("n", "<u4")])
-_TOKEN = np.dtype([("df", "<u4"), ("token", "<u8")])
+_ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("size", "u1"), ("number", "<u2")])
+_REPLY = np.dtype([("code", "<u8"), ("number", "<u2")])
+_SET = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("size", "<i8")])
 
 
-def _pack(heads: np.ndarray, body: bytes) -> bytes:
-    return len(heads).to_bytes(4, "little") + heads.tobytes() + body
+def _dump(x: np.ndarray) -> bytes:
+    """Column after column: alike values lie together, which the shuffle's compression uses."""
+    return b"".join(np.ascontiguousarray(x[c]).tobytes() for c in x.dtype.names)
 
 
-def _unpack(raw) -> tuple[np.ndarray, memoryview]:
-    view = memoryview(raw.as_buffer())
-    n = int.from_bytes(view[:4], "little")
-    return np.frombuffer(view, _HEAD, n, 4), view[4 + n * _HEAD.itemsize :]
+def _load(raw: memoryview, kind: np.dtype) -> np.ndarray:
+    n = len(raw) // kind.itemsize
+    out, at = np.empty(n, kind), 0
+    for c in kind.names:
+        out[c] = np.frombuffer(raw, kind[c], n, at)
+        at += n * kind[c].itemsize
+    return out
 
 
-def _starts(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+def _band(size: np.ndarray) -> np.ndarray:
+    """Sizes that can link are in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(size, 1)) / math.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
-def _shared(dealt: DataFrame, parts: int) -> DataFrame:
-    """part, packed: the useful shingles of one range, dealt by set: sets (key, size, number), and (number of sets, shingle)."""
+def _near(a, b):
+    return abs(a - b) <= 1
+
+
+def _rank(count: np.ndarray) -> np.ndarray:
+    """The number of sets in quarter octaves; 255 is left to the common shingles."""
+    return np.minimum(254, np.floor(4 * np.log2(np.maximum(count, 1)) + 1e-9)).astype(np.uint64)
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["part", "flush", "kind", "packed"])
+
+
+_ROWS = "part int, flush long, kind int, packed binary"
+_KEY = 255  # instead of a size band: the entry is a set's key
+_ASK, _SETS, _ALL = 0, 1, 2  # kinds of rows: shingles of one range; a run's sets; its sets' common shingles
+
+
+def _dealt(df: DataFrame, text: str, parts: int, hot) -> DataFrame:
+    """Rows for each run of sets: its shingles by hash range (part), and to one part its sets and their common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, heads = [], []
-        for b in batches:
-            for part, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                head, body = _unpack(raw)
-                t = np.zeros((len(body) // 6, 8), np.uint8)
-                t[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
-                # a shingle is told by its part and 48 bits
-                tokens.append(vectext.mix(t.view(np.uint64).ravel() ^ vectext.mix(np.array([part], np.uint64) + _SALT)))
-                heads.append(head.copy())
-        if not tokens:
-            return
-        t, head = np.concatenate(tokens), np.concatenate(heads)
-        del tokens, heads
-        owner = np.repeat(np.arange(len(head), dtype=np.int32), head["n"])
-        # shingles of one set only are most of all: found by sorting the shingles alone
-        order = np.argsort(t)
-        t = t[order]
-        same = t[1:] == t[:-1]
-        several = np.zeros(len(t), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        t, owner = t[several], owner[order[several]]
-        del order, same, several
-        k, s = head["key"][owner], head["size"][owner].astype(np.int64)
-        order = np.lexsort((k, s, t))
-        t, k, s = t[order], k[order], s[order]
-        copy = np.zeros(len(t), bool)  # the same set, dealt by two tasks
-        copy[1:] = (t[1:] == t[:-1]) & (k[1:] == k[:-1])
-        t, k, s = t[~copy], k[~copy], s[~copy]
-        near = (t[1:] == t[:-1]) & (s[:-1] * DEN >= s[1:] * NUM)
-        use = np.zeros(len(t), bool)
-        use[1:] |= near
-        use[:-1] |= near
-        first = _starts(t)
-        each = np.diff(np.append(first, len(t)))
-        count = np.repeat(each, each)
-        t, k, s, count = t[use], k[use], s[use], count[use]
-        # one row for each part of the sets, so the number of rows does not follow the number of sets
-        to = (vectext.mix(k.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((k, to))
-        t, k, s, count, to = t[order], k[order], s[order], count[order], to[order]
-        packed = np.empty(len(t), _TOKEN)
-        packed["df"], packed["token"] = count, t
-        cuts = _starts(to)
-        rows: list[tuple[int, bytes]] = []
-        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)]):
-            begin = x + _starts(k[x:y])
-            heads = np.empty(len(begin), _HEAD)
-            heads["key"], heads["size"], heads["n"] = k[begin], s[begin], np.diff(np.append(begin, y))
-            rows.append((int(to[x]), _pack(heads, packed[x:y].tobytes())))
-            if len(rows) == 64:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["part", "packed"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["part", "packed"])
-
-    return dealt.repartition(parts, "part").mapInArrow(run, "part int, packed binary")
+        flush, frequent = TaskContext.get().partitionId() << 32, hot.value
+        blocks = (block for b in batches for block in vectext.blocks(vectext.texts(b.column(0))))
+        for tokens, keys, sizes in _runs(blocks):
+            number = np.repeat(np.arange(len(keys)), sizes)
+            head = np.empty(len(keys), _SET)
+            head["k1"], head["k2"], head["size"] = keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), sizes
+            rows = [(flush % parts, flush, _SETS, _dump(head))]
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+                is_hot = frequent[at] == tokens
+                if is_hot.any():
+                    every = np.empty(int(is_hot.sum()), _REPLY)
+                    every["code"], every["number"] = np.uint64(255 << 56) | tokens[is_hot] & _HASH, number[is_hot]
+                    rows.append((flush % parts, flush, _ALL, _dump(every)))
+                    tokens, number = tokens[~is_hot], number[~is_hot]
+            # and each set's second key, so that of the runs that hold it one is told to keep it
+            tokens, number = np.concatenate([tokens, keys[:, 1]]), np.concatenate([number, np.arange(len(keys))])
+            band = np.concatenate([np.minimum(_KEY - 1, _band(sizes))[number[: -len(keys)]], np.full(len(keys), _KEY)])
+            part = (vectext.mix(tokens ^ _SALT) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, tokens, number, band = part[order], tokens[order], number[order], band[order]
+            entry = np.empty(len(tokens), _ENTRY)
+            entry["token"], entry["number"], entry["set"], entry["size"] = tokens, number, keys[number, 0], band
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
+                rows.append((int(part[a]), flush, _ASK, _dump(entry[a:b])))
+                if len(rows) == 256:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+            flush += 1
+        common.release()
+
+    return df.select(df[text]).mapInArrow(run, _ROWS)
+
+
+def _answer(entry: np.ndarray, flush: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flush, number, code) of the useful shingles; of a set that several runs hold, the first run alone is answered, and told
+    so by a code of 0."""
+    key = np.flatnonzero(entry["size"] == _KEY)
+    key = key[np.lexsort((flush[key], entry["set"][key], entry["token"][key]))]
+    e, f = entry[key], flush[key]
+    first = np.ones(len(e), bool)
+    first[1:] = (e["token"][1:] != e["token"][:-1]) | (e["set"][1:] != e["set"][:-1])
+    kept = f[first], e["number"][first], np.zeros(int(first.sum()), np.uint64)
+    own = entry["size"] != _KEY
+    entry, flush = entry[own], flush[own]
+    order = np.argsort(entry["token"], kind="stable")
+    t = entry["token"][order]
+    same = t[1:] == t[:-1]
+    several = np.zeros(len(t), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    order = order[several]  # shingles of one set only are most of all
+    e, f = entry[order], flush[order]
+    order = np.lexsort((e["number"], f, e["set"], e["token"]))
+    e, f = e[order], f[order]
+    copy = np.zeros(len(e), bool)  # the same set, held by two runs
+    copy[1:] = (e["token"][1:] == e["token"][:-1]) & (e["set"][1:] == e["set"][:-1])
+    e, f = e[~copy], f[~copy]
+    order = np.lexsort((e["size"], e["token"]))
+    e, f = e[order], f[order]
+    t, band = e["token"], e["size"].astype(np.int64)
+    near = (t[1:] == t[:-1]) & _near(band[1:], band[:-1])
+    use = np.zeros(len(e), bool)
+    use[1:] |= near
+    use[:-1] |= near
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(t)))
+    code = _rank(np.repeat(count, count)) << np.uint64(56) | t & _HASH
+    return tuple(np.concatenate([x, y]) for x, y in zip(kept, (f[use], e["number"][use], code[use])))
 
 
-def need(a, b):
-    """The least intersection with which sets of sizes a and b link: 100 i >= 75 (a + b - i)."""
-    return -(-NUM * (a + b) // (NUM + DEN))
+def _shared(dealt: DataFrame, parts: int) -> DataFrame:
+    """flush, kind, packed: for each run its sets, its sets' common shingles, and the useful ones among the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, flushes = [], []
+        for b in batches:
+            for part, flush, kind, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if kind == _ASK:
+                    entries.append(_load(memoryview(raw.as_buffer()), _ENTRY))
+                    flushes.append(np.full(len(entries[-1]), flush))
+                else:
+                    yield _batch([(part, flush, kind, raw.as_py())])
+        if entries:
+            entry, flush = np.concatenate(entries), np.concatenate(flushes)
+            del entries, flushes
+            f, number, code = _answer(entry, flush)
+            del entry, flush
+            order = np.argsort(f, kind="stable")
+            f, reply = f[order], np.empty(len(f), _REPLY)
+            reply["code"], reply["number"] = code[order], number[order]
+            cuts = np.flatnonzero(np.diff(f, prepend=-1))
+            rows = [(0, int(f[a]), _ALL, _dump(reply[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(f)])]
+            for a in range(0, len(rows), 256):
+                yield _batch(rows[a : a + 256])
+        common.release()
+
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, _ROWS).drop("part")
 
 
 def _items(shared: DataFrame, parts: int) -> DataFrame:
-    """key, size, tokens (rare first), prefix (how many of them are the prefix); only items that can link at all."""
+    """node (a number of the set), k1, k2, size, tokens (codes in the global order, rare first), prefix (how many of them); only items that can link at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [_unpack(x) for b in batches for x in b.column(1)]
-        if not got:
-            return
-        heads = np.concatenate([h for h, _ in got])
-        x = np.concatenate([np.frombuffer(t, _TOKEN) for _, t in got])
-        del got
-        keys = np.repeat(heads["key"], heads["n"])
-        order = np.argsort(keys, kind="stable")
-        x, keys = x[order], keys[order]
-        first = _starts(keys)
-        n = np.diff(np.append(first, len(x)))
-        by_key = np.argsort(heads["key"], kind="stable")
-        size = heads["size"][by_key][_starts(heads["key"][by_key])].astype(np.int64)
-        able = n * DEN >= size * NUM
-        x, key, size, n = x[np.repeat(able, n)], keys[first[able]], size[able], n[able]
-        item = np.repeat(np.arange(len(n)), n)
-        tokens = x["token"][np.lexsort((x["token"], x["df"], item))].view(np.int64)
-        # shingles that no other set has come first of all, so this many useful ones are left in the prefix
-        prefix = np.maximum(0, size - -(-NUM * size // DEN) + 1 - (size - n))
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        for a in range(0, len(n), 2000):
-            e = min(a + 2000, len(n))
-            lists = pa.ListArray.from_arrays(pa.array(bounds[a : e + 1] - bounds[a], pa.int32()), pa.array(tokens[bounds[a] : bounds[e]]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[a:e]), pa.array(size[a:e]), lists, pa.array(prefix[a:e], pa.int32())], names=["key", "size", "tokens", "prefix"])
-
-    return shared.repartition(parts, "part").mapInArrow(run, "key long, size long, tokens array<long>, prefix int")
+        heads: dict[int, np.ndarray] = {}
+        codes: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for flush, kind, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                view = memoryview(raw.as_buffer())
+                if kind == _SETS:
+                    heads[flush] = _load(view, _SET)
+                else:
+                    codes.setdefault(flush, []).append(_load(view, _REPLY))
+        for flush in sorted(codes):
+            head, x = heads[flush], np.concatenate(codes.pop(flush))
+            x = x[np.lexsort((x["code"], x["number"]))]
+            mine = np.zeros(len(head), bool)
+            mine[x["number"][x["code"] == 0]] = True
+            x = x[(x["code"] != 0) & mine[x["number"]]]
+            n = np.bincount(x["number"], minlength=len(head))
+            size = head["size"]
+            able = n * DEN >= size * NUM
+            able &= n > 0
+            tokens, node = x["code"][np.repeat(able, n)].view(np.int64), (flush << 16) + np.flatnonzero(able)
+            head, n, size = head[able], n[able], size[able]
+            # shingles that no other set has come first of all, so this many useful ones are left in the prefix
+            prefix = np.maximum(0, size - -(-NUM * size // DEN) + 1 - (size - n))
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            for a in range(0, len(n), 1000):
+                e = min(a + 1000, len(n))
+                lists = pa.ListArray.from_arrays(pa.array(bounds[a : e + 1] - bounds[a], pa.int32()), pa.array(tokens[bounds[a] : bounds[e]]))
+                yield pa.RecordBatch.from_arrays([pa.array(node[a:e]), pa.array(head["k1"][a:e]), pa.array(head["k2"][a:e]), pa.array(size[a:e]), lists, pa.array(prefix[a:e], pa.int32())], names=names)
+        common.release()
+
+    names = ["node", "k1", "k2", "size", "tokens", "prefix"]
+    return shared.repartition(parts, "flush").mapInArrow(run, "node long, k1 long, k2 long, size long, tokens array<long>, prefix int")
+
+
+def need(a, b):
+    """The least intersection with which sets of sizes a and b link: 100 i >= 75 (a + b - i)."""
+    return -(-NUM * (a + b) // (NUM + DEN))
 
 
 class Tree:
-    """A path-compressed prefix tree over sets of one order; each node: shingles on its edge, items that end there, sizes below."""
+    """A path-compressed prefix tree over sets of one order; each node: shingles on its edge, items that end there, sizes below,
+    and the component of all items below (None where they differ)."""
 
-    __slots__ = ("edge", "items", "children", "low", "high", "left")
+    __slots__ = ("edge", "items", "children", "low", "high", "left", "known")
 
     def __init__(self, edge: np.ndarray):
         self.edge, self.items, self.children = edge, [], []
 
     @staticmethod
-    def build(sets: list[np.ndarray], sizes: np.ndarray) -> "Tree":
-        """sets: columns in one global order each; they are sorted here, so a subtree is a run of neighbours."""
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+    def build(sets: list[np.ndarray], sizes: np.ndarray, known: np.ndarray) -> "Tree":
+        """sets: shingles by their place in the one global order; they are sorted here, so a subtree is a run of neighbours."""
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
 
         def grow(run: list[int], depth: int) -> "Tree":
             first, last = sets[run[0]], sets[run[-1]]
@@ -303,40 +408,54 @@ class Tree:
                 k = j
             node.low, node.high = int(sizes[run].min()), int(sizes[run].max())
             node.left = max([0, *(len(c.edge) + c.left for c in node.children)])  # the most shingles that can follow
+            node.known = int(known[run[0]]) if (known[run] == known[run[0]]).all() else None
             return node
 
         return grow(order, 0)
 
 
-def links(tokens_a: list[np.ndarray], sizes_a: np.ndarray, tokens_b: list[np.ndarray], sizes_b: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(item of a, items of b) that link. a is stored in the tree, b goes down it."""
-    every, count = np.unique(np.concatenate([*tokens_a, *tokens_b]), return_counts=True)
-    rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, -count))] = np.arange(len(every))  # most common first
-    sets = [np.sort(rank[np.searchsorted(every, t)]) for t in tokens_a]
-    has = np.zeros((len(every), len(tokens_b)), np.int16)
-    for j, t in enumerate(tokens_b):
-        has[rank[np.searchsorted(every, t)], j] = 1
-    tree = Tree.build(sets, sizes_a)
+def links(tokens_a: list[np.ndarray], sizes_a: np.ndarray, tokens_b: list[np.ndarray], sizes_b: np.ndarray, known_a: np.ndarray | None = None, known_b: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+    """(item of a, items of b) that link. a is stored in the tree, b goes down it, as many items at once as memory for 30
+    million (shingle, item) marks allows. Pairs of one known component need not be found."""
+    known_a = np.arange(len(tokens_a)) if known_a is None else known_a
+    known_b = -1 - np.arange(len(tokens_b)) if known_b is None else known_b
+    every = np.unique(np.concatenate(tokens_a).view(np.uint64))[::-1].view(np.int64)  # the global order, common ones first
+    up = every[::-1].view(np.uint64)
+
+    def places(t: np.ndarray) -> np.ndarray:
+        """Places in the order; shingles that no item of a has can add nothing."""
+        at = np.minimum(np.searchsorted(up, t.view(np.uint64)), len(up) - 1)
+        return np.sort(len(up) - 1 - at[up[at] == t.view(np.uint64)])
+
+    tree = Tree.build([places(t) for t in tokens_a], sizes_a, known_a)
     out = []
-    stack = [(tree, np.arange(len(tokens_b)), np.zeros(len(tokens_b), np.int64))]
-    while stack:
-        node, who, overlap = stack.pop()
-        fits = (sizes_b[who] * DEN >= node.low * NUM) & (sizes_b[who] * NUM <= node.high * DEN)
-        who, overlap = who[fits], overlap[fits]
-        if not len(who):
-            continue
-        if len(node.edge):
-            overlap = overlap + has[node.edge][:, who].sum(axis=0)
-        for i in node.items:
-            hit = overlap >= need(sizes_a[i], sizes_b[who])
-            if hit.any():
-                out.append((i, who[hit]))
-        if node.children:
-            alive = overlap + node.left >= need(np.maximum(node.low, -(-NUM * sizes_b[who] // DEN)), sizes_b[who])
-            who, overlap = who[alive], overlap[alive]
-            if len(who):
-                stack += [(c, who, overlap) for c in node.children]
+    width = max(1, 30_000_000 // max(1, len(every)))
+    for begin in range(0, len(tokens_b), width):
+        own = np.arange(begin, min(begin + width, len(tokens_b)))
+        has = np.zeros((len(every), len(own)), np.uint8)
+        for j, i in enumerate(own.tolist()):
+            has[places(tokens_b[i]), j] = 1
+        sizes, known = sizes_b[own], known_b[own]
+        stack = [(tree, np.arange(len(own)), np.zeros(len(own), np.int64))]
+        while stack:
+            node, who, overlap = stack.pop()
+            fits = (sizes[who] * DEN >= node.low * NUM) & (sizes[who] * NUM <= node.high * DEN)
+            if node.known is not None:
+                fits &= known[who] != node.known
+            who, overlap = who[fits], overlap[fits]
+            if not len(who):
+                continue
+            for c in range(0, len(node.edge), 4096):
+                overlap = overlap + has[node.edge[c : c + 4096]][:, who].sum(axis=0, dtype=np.int64)
+            for i in node.items:
+                hit = (overlap >= need(sizes_a[i], sizes[who])) & (known[who] != known_a[i])
+                if hit.any():
+                    out.append((i, own[who[hit]]))
+            if node.children:
+                alive = overlap + node.left >= need(np.maximum(node.low, -(-NUM * sizes[who] // DEN)), sizes[who])
+                who, overlap = who[alive], overlap[alive]
+                if len(who):
+                    stack += [(c, who, overlap) for c in node.children]
     return out
 
 
@@ -362,68 +481,150 @@ def _forest(found: list[tuple[int, np.ndarray]], keys_a: np.ndarray, keys_b: np.
     return out
 
 
-def _cells(items: DataFrame, families: DataFrame) -> DataFrame:
-    """cell, side (0: stored in the tree, 1: goes down it, 2: both), key, size, tokens; what a cell joins is at most 2 * BLOCK items of one family, or small families."""
-    # an item's place in its family, dealt by hash: about BLOCK items a block, and no family is sorted in one task
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    sizes = common.materialise(sizes, "family-sizes")
-    placed = families.join(sizes, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = common.materialise(placed.select(F.col("node").alias("key"), "root", "blocks", "block"), "family-blocks")
-    full = items.select("key", "size", "tokens").join(placed, "key")
-    small = full.where("blocks = 1").select(F.xxhash64("root").alias("cell"), F.lit(2).alias("side"), "root", "key", "size", "tokens")
-    large = full.where("blocks > 1")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    large = large.withColumn("pair", F.explode(others)).select(
-        F.xxhash64("root", "pair.i", "pair.j").alias("cell"),
-        F.when(F.col("pair.i") == F.col("pair.j"), 2).otherwise(F.when(F.col("block") == F.col("pair.i"), 0).otherwise(1)).alias("side"),
-        "root", "key", "size", "tokens",
+def _blocks() -> Column:
+    """The number of blocks of a group's items."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(CELL))).cast("int")
+
+
+def _blocked(groups: DataFrame, within: bool) -> DataFrame:
+    """cell, side (0: stored in the tree, 1: goes down it, 2: both), and groups' columns. groups(group, node, size, known): each group
+    is cut into blocks by size band and hash. within: blocks meet only themselves (whole small groups do); else all that can link do."""
+    band: Column = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(DEN / NUM) + 1e-9).cast("int")
+    whole = groups.groupBy("group").agg(_blocks().alias("blocks"))
+    t = groups.withColumn("band", band).join(whole, "group")
+    if within:
+        return t.select(F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("cell"), F.lit(2).alias("side"), *groups.columns)
+    small = t.where("blocks = 1").select(F.xxhash64("group").alias("cell"), F.lit(2).alias("side"), *groups.columns)
+    large = t.where("blocks > 1").drop("blocks")
+    counts = large.groupBy("group", "band").agg(_blocks().alias("n"))
+    by_band = counts.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("bands"))  # some 50 bands at most
+    large = large.join(by_band, "group")
+    number = lambda at: F.coalesce(F.try_element_at("bands", at), F.lit(0))
+    large = large.withColumn("own", F.struct("band", F.pmod(F.xxhash64("node"), number(F.col("band"))).cast("int").alias("j")))
+    every = lambda at: F.when(number(at) > 0, F.transform(F.sequence(F.lit(0), F.greatest(number(at), F.lit(1)) - 1), lambda j: F.struct(at.alias("band"), j.alias("j")))).otherwise(F.array().cast("array<struct<band:int,j:int>>"))
+    partners = F.concat(every(F.col("band") - 1), every(F.col("band")), every(F.col("band") + 1))
+    large = large.withColumn("other", F.explode(partners)).select(
+        F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
+        F.when(F.col("own") == F.col("other"), 2).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1)).alias("side"), *groups.columns,
     )
     return small.unionByName(large)
 
 
-def link_forest(items: DataFrame, families: DataFrame) -> DataFrame:
-    """a, b: edges between linked items that connect just what links connect."""
+def _compare(items: DataFrame, placed: DataFrame) -> DataFrame:
+    """a, b: edges between linked items of a cell that connect just what its links connect. placed(cell, side, group, node, size, known)."""
 
-    def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        keys, sizes = group.column("key").to_numpy(), group.column("size").to_numpy()
-        lists = group.column("tokens").combine_chunks()
-        flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        tokens = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    def run(cell: pa.Table) -> pa.Table:
         edges: list[tuple[int, int]] = []
-        if len(a) and len(b):
-            found = links([tokens[i] for i in a], sizes[a], [tokens[i] for i in b], sizes[b])
-            edges = _forest(found, keys[a], keys[b])
+        groups = cell.column("group").to_numpy()
+        for group in np.unique(groups).tolist():  # one, unless two cells share a hash
+            t = cell.filter(pa.array(groups == group))
+            side, keys, sizes, known = (t.column(c).to_numpy() for c in ("side", "node", "size", "known"))
+            lists = t.column("tokens").combine_chunks()
+            flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            tokens = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            if len(a) and len(b) and len(set(known.tolist())) > 1:
+                found = links([tokens[i] for i in a], sizes[a], [tokens[i] for i in b], sizes[b], known[a], known[b])
+                edges += _forest(found, keys[a], keys[b])
         return pa.table([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], names=["a", "b"])
 
-    return _cells(items, families).select("cell", "side", "key", "size", "tokens").groupBy("cell").applyInArrow(run, "a long, b long")
+    full = placed.join(items.select("node", "tokens"), "node")
+    return full.select("cell", "side", "group", "node", "size", "known", "tokens").groupBy("cell").applyInArrow(run, "a long, b long")
+
+
+def _joined(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root over two sets of edges; the first is a table of (node, root)."""
+    return graph.components(edges.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def _open(prefix: DataFrame, linked: DataFrame) -> DataFrame:
+    """node, token, family, known, n, signature: the prefix shingles whose items are not all in one known component."""
+    t = prefix.join(linked.withColumnRenamed("root", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    sums = t.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("signature"))
+    return t.join(sums.where("low < high").select("token", "n", "signature"), "token").select("node", "token", "family", "known", "n", "signature")
+
+
+def _families(prefix: DataFrame) -> DataFrame:
+    """node, root: items that share a prefix shingle, directly or in a chain."""
+    star = common.materialise(prefix.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub"), "jaccard-star")
+    out = graph.components(prefix.join(star, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    common.discard(star)
+    return out
+
+
+def link_components(items: DataFrame) -> DataFrame:
+    """node, root: the components of the links, for items that have one."""
+    prefix = common.materialise(items.where("prefix > 0").select("node", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "jaccard-prefix")
+    sizes = items.select("node", "size")
+    families = _families(prefix)
+    # blocks of families: this settles small families, and most of the large ones
+    groups = families.join(sizes, "node").select(F.col("root").alias("group"), "node", "size", F.col("node").alias("known"))
+    linked = graph.components(_compare(items, _blocked(groups, within=True)))
+    large = common.materialise(_large(families, sizes), "jaccard-large")
+    for last in (False, False, True) if not large.isEmpty() else ():
+        left = common.materialise(_open(prefix.join(large, "node"), linked), "jaccard-open")
+        if left.isEmpty():
+            common.discard(left)
+            break
+        if last:  # all that can link and is not known to be connected
+            groups = _exact(left, sizes)
+        else:  # one item of each component
+            one = left.groupBy("family", "known").agg(F.min("node").alias("node"))
+            groups = one.join(sizes, "node").select(F.col("family").alias("group"), "node", "size", "known")
+        placed = common.materialise(_blocked(groups.select("group", "node", "size", "known"), within=not last), "jaccard-cells")
+        more = _joined(linked, _compare(items, placed))
+        common.discard(left, placed, linked)
+        linked = more
+    common.discard(prefix, families, large)
+    return linked
+
+
+def _large(families: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, family: the items of families of several blocks; a family of one block is settled once it has met itself."""
+    t = families.join(sizes, "node")
+    large = t.groupBy("root").agg(_blocks().alias("blocks")).where("blocks > 1")
+    return t.join(large, "root").select("node", F.col("root").alias("family"))
+
+
+def _exact(left: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups (group, node, size, known) that hold every pair of open items which share an open shingle: for each family its open
+    shingles (those with the same items once), or the family's open items as one group, whichever moves fewer rows."""
+    by_token = left.groupBy("family", "n", "signature").agg(F.min("token").alias("token"))
+    cost = by_token.groupBy("family").agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("apart"))
+    nodes = left.select("family", "node", "known").distinct()
+    size = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    choice = cost.join(size, "family").select("family", (F.col("apart") < F.col("m") * F.ceil(F.col("m") / BLOCK)).alias("by_token"))
+    choice = common.materialise(choice, "jaccard-choice")
+    apart = left.join(choice.where("by_token"), "family").join(by_token.select("family", "token"), ["family", "token"], "left_semi")
+    groups = apart.select(F.xxhash64("family", "token").alias("group"), "node", "known").unionByName(nodes.join(choice.where("not by_token"), "family").select(F.xxhash64("family").alias("group"), "node", "known"))
+    return groups.join(sizes, "node")
 
 
 def near_components(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, n_shingles, component_id, key; one row for each row of df."""
+    """id, n_shingles, component_id, k1, k2 (the set's key); one row for each row of df."""
     spark = df.sparkSession
     common.small_batches(spark)
-    members = common.materialise(set_keys(df, text, id), "jaccard-members")
-    # the shingles of a part are sorted in memory, so the number of parts follows the number of shingles
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(common.partitions(spark), -(-total // PART))
-    items = common.materialise(_items(_shared(_dealt(df, text, parts), parts), parts), "jaccard-items")
-    prefix = items.where("prefix > 0").select("key", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    star = prefix.groupBy("token").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = prefix.join(common.materialise(star, "jaccard-star").select("token", "hub"), "token").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    families = common.materialise(graph.components(edges), "jaccard-families")
-    linked = common.materialise(graph.components(link_forest(items, families)), "jaccard-linked")
+    both = common.materialise(_members(df, text, id), "jaccard-members")
+    members = both.where("token is null").drop("token", "n")
+    # a range of shingles is sorted in memory, so the number of ranges follows the number of shingles
+    total, documents = members.agg(F.sum("n_shingles"), F.count(F.lit(1))).first()
+    parts = max(common.partitions(spark), -(-(total or 0) // PART))
+    often = both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") * 4 * SHARE >= documents)
+    frequent = [r.token for r in often.orderBy(F.col("n").desc(), "token").limit(HOTTEST).collect()]
+    hot = spark.sparkContext.broadcast(np.sort(np.array(frequent, np.int64).view(np.uint64)))
+    items = common.materialise(_items(_shared(_dealt(df, text, parts, hot), parts), parts), "jaccard-items")
+    linked = link_components(items)
     # the least id of each set, then of each component
-    own = members.where("n_shingles > 0").groupBy("key").agg(F.min("id").alias("own"))
-    sets = own.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = members.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("own"))
+    sets = linked.join(items.select("node", "k1", "k2"), "node").join(own, ["k1", "k2"]).select("k1", "k2", "root", "own")
     sets = common.materialise(sets, "jaccard-sets")
-    roots = common.materialise(sets.groupBy("root").agg(F.min("own").alias("component_id")), "jaccard-roots")
-    target = common.materialise(sets.join(roots, "root").select("key", "component_id"), "jaccard-target")
-    common.discard(items, families, linked, sets, roots)
-    full = members.where("n_shingles > 0").join(target, "key").select("id", "n_shingles", "component_id", "key")
-    return full.unionByName(members.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("key")))
+    roots = sets.groupBy("root").agg(F.min("own").alias("component_id"))
+    target = sets.join(roots, "root").select("k1", "k2", F.col("component_id").alias("joined"))
+    target = common.materialise(own.join(target, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("joined", "own").alias("component_id")), "jaccard-target")
+    common.discard(items, linked, sets)
+    full = members.where("n_shingles > 0").join(target, ["k1", "k2"]).select("id", "n_shingles", "component_id", "k1", "k2")
+    nothing = F.lit(None).cast("long")
+    return full.unionByName(members.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), nothing.alias("k1"), nothing.alias("k2")))
 
 
 def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
