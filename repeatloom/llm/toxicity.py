@@ -2,9 +2,9 @@
 
 A document is a bag of sentences. A sentence's probability is a logistic function of its words' features (the word and its
 first four and six letters, lower-cased); the document's is the noisy-or of its sentences, so one toxic sentence makes a
-toxic document. In scoring, a sentence below a floor adds nothing, so that the background of clean sentences does not add up
-with their number: the floor is FLOOR up to MANY sentences and rises to one half with more, since chance alone brings more
-doubtful ones. The score is at least the worst sentence's probability. Weights are learned from document labels alone, by gradient steps on the bag likelihood; afterwards
+toxic document. In a document of more than MANY sentences each sentence's odds are divided by their number over MANY, in
+training and in scoring: the more sentences there are, the more stands out by chance, and without this both the background
+of clean sentences and the worst of them would grow with the length alone. Weights are learned from document labels alone, by gradient steps on the bag likelihood; afterwards
 the sentence probabilities locate the offending sentences.
 
 Training reads text and label from at most PER_LABEL documents of each label (least hash first), whole and of any length,
@@ -30,7 +30,7 @@ from repeatloom.llm import common, vectext
 from repeatloom.llm.language import fold
 
 PER_LABEL, MOST_TEXT = 2000, 10_000_000
-FLOOR, MANY = 0.25, 100
+MANY = 100
 FEATURES, LEAST_DOCS, STEPS, RATE, SHRINK, BASE = 30_000, 3, 150, 0.15, 2e-5, -5.0
 LEAST_CHI, BUCKETS = 6.0, 1 << 22
 _STOPS = [ord(c) for c in ".!?\n|"]
@@ -66,19 +66,23 @@ class Model:
             for h in features:
                 at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
                 z += np.bincount(sentence, np.where(self.keys[at] == h, self.weights[at], 0.0), len(first))
+        z -= _excess(doc, n)[doc]
         own = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        floor = 0.5 - (0.5 - FLOOR) * np.minimum(1, MANY / np.maximum(np.bincount(doc, minlength=n), 1))
-        none = np.where(own >= floor[doc], np.logaddexp(0, z), 0.0)  # -log(1 - p)
-        p = -np.expm1(-np.bincount(doc, none, n)) if len(first) else np.zeros(n)
+        none = np.logaddexp(0, z)  # -log(1 - p)
+        p = -np.expm1(-np.bincount(doc, none, n)) if len(first) and len(self.keys) else np.zeros(n)
         start, end = np.full(n, -1), np.full(n, -1)
         order = np.lexsort((-first, z))  # the greatest last; of equals the first
         start[doc[order]], end[doc[order]] = (first - block.bounds[doc])[order], (last - block.bounds[doc])[order]
         worst = np.zeros(n)
         worst[doc[order]] = own[order]
-        p = np.maximum(p, worst) if len(self.keys) else np.zeros(n)
         return p, worst, start, end
 
 
+def _excess(doc: np.ndarray, n: int) -> np.ndarray:
+    """What is taken off the log odds of each document's sentences."""
+    return np.log(np.maximum(1, np.bincount(doc, minlength=n) / MANY))
+
+
 def _entries(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each block and kind of feature: hashes, and the sentence and document of each, numbered through."""
     at = base = 0
@@ -104,9 +108,9 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     yes, every = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     count = 0
     for h, s, d in _entries(texts):
-        seen = np.unique(((h % np.uint64(BUCKETS)).astype(np.int64) << 20) | d)  # a feature counts once a document
-        np.add.at(every, seen >> 20, 1)
-        np.add.at(yes, seen >> 20, labels[seen & 0xFFFFF])
+        seen = np.unique(((h % np.uint64(BUCKETS)).astype(np.int64) << 32) | d)  # a feature counts once a document
+        np.add.at(every, seen >> 32, 1)
+        np.add.at(yes, seen >> 32, labels[seen & 0xFFFFFFFF])
         count = max(count, int(s[-1]) + 1 if len(s) else 0)
     wanted = _chi(yes, every, share) > LEAST_CHI
     kept = [(h[m], s[m], d[m]) for h, s, d in _entries(texts) if (m := wanted[h % np.uint64(BUCKETS)]) is not None]
@@ -115,8 +119,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     for _, s, d in _entries(texts):
         sentence_doc[s] = d
     keys, index = np.unique(kinds, return_inverse=True)
-    seen = np.unique(index.astype(np.int64) << 20 | docs)
-    chi = _chi(np.bincount(seen >> 20, labels[seen & 0xFFFFF], len(keys)), np.bincount(seen >> 20, minlength=len(keys)), share)
+    seen = np.unique(index.astype(np.int64) << 32 | docs)
+    chi = _chi(np.bincount(seen >> 32, labels[seen & 0xFFFFFFFF], len(keys)), np.bincount(seen >> 32, minlength=len(keys)), share)
     chosen = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
     chosen = chosen[chi[chosen] > LEAST_CHI]
     place = np.full(len(keys), -1)
@@ -125,9 +129,9 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     row, col = words[use], place[index[use]]
     w, b = np.zeros(len(chosen)), BASE
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    y = labels.astype(float)
+    y, less = labels.astype(float), _excess(sentence_doc, len(texts))[sentence_doc]
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(row, w[col], len(sentence_doc))
+        z = b + np.bincount(row, w[col], len(sentence_doc)) - less
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         total = np.maximum(np.bincount(sentence_doc, np.logaddexp(0, z), len(texts)), 1e-9)
         pull = np.where(y > 0, 1 / np.expm1(np.minimum(total, 500)), -1.0)  # (1 - P) / P, or -1
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     """Learns from labels(id, label); the sample of labels is drawn first, so the join with documents is by a table of fixed size."""
     known = labels.select(labels[id].alias("id"), labels[label].alias("label")).where("id is not null and label is not null").distinct()
     drawn = common.draw(known, F.xxhash64("id"), PER_LABEL, "label").select("id", "label")
-    texts = docs.select(docs[id].alias("id"), docs[text].alias("text")).where("text is not null")
+    texts = docs.select(docs[id].alias("id"), docs[text].alias("text")).where("text != ''")
     sizes = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.sum(F.length("text")).alias("n"), F.first(F.xxhash64("id")).alias("rank")).collect()
     chosen = []
     for kind in (True, False):
