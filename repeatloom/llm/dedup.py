@@ -67,38 +67,34 @@ def frequent(df: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """digest, keep_id, group_size of each text that more than 1 in COUNTERS rows have; rows(id, digest) are read three times, not shuffled.
-    A local table of at most 2 * COUNTERS rows, safe to broadcast at any size of the corpus."""
+    """digest, keep_id, group_size and keep_row of each text that more than 1 in COUNTERS rows have; rows(id, digest, row) are read
+    three times, not shuffled. A local table of at most 2 * COUNTERS rows, safe to broadcast at any size of the corpus."""
     spark = rows.sparkSession
     total = rows.count()
     named = spark.createDataFrame(frequent(rows, "digest").select("digest").collect(), "digest string")
-    found = rows.join(F.broadcast(named), "digest").groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    found = rows.join(F.broadcast(named), "digest").groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("keep_row"))
     verified = found.where(F.col("group_size") * COUNTERS > total)
     return F.broadcast(spark.createDataFrame(verified.collect(), verified.schema))
 
 
 def decide(df: DataFrame, digest: Column, id: Column) -> DataFrame:
     """id, digest, keep_id, group_size, kept; one row for each row of df."""
-    rows = common.materialise(df.select(id.alias("id"), digest.alias("digest")), "dedup-rows")
+    # rows are numbered once, in the written table, so that rows which repeat both id and digest can be told apart
+    rows = common.materialise(df.select(id.alias("id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
     heads = winners(rows)
-    heavy = rows.join(heads, "digest")
-    wins = F.col("id").eqNullSafe(F.col("keep_id"))
-    lost = heavy.where(~wins).select("id", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
-    # rows that carry the winner's id: one, unless rows repeat
-    first = heavy.where(wins).groupBy("digest", "id", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("n"))
-    won = first.select("id", "digest", "keep_id", "group_size", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: i == 1)).alias("kept"))
+    heavy = rows.join(heads, "digest").select("id", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
     group = Window.partitionBy("digest")
     settled = rows.join(heads.select("digest"), "digest", "left_anti").select(
         "id", "digest", F.min("id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.col("id").asc_nulls_last())) == 1).alias("kept"),
+        (F.row_number().over(group.orderBy(F.col("id").asc_nulls_last(), "row")) == 1).alias("kept"),
     )
-    return lost.unionByName(won).unionByName(settled)
+    return heavy.unionByName(settled)
 
 
 def unique(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """df's rows and columns without the copies. Copies of frequent texts go where they are read; the other rows are shuffled once, by digest."""
     rows = df.withColumn("_dedup_digest", normal_digest(df[text]))
-    keys = common.materialise(rows.select(F.col(id).alias("id"), F.col("_dedup_digest").alias("digest")), "dedup-keys")
+    keys = common.materialise(rows.select(F.col(id).alias("id"), F.col("_dedup_digest").alias("digest"), F.lit(0).alias("row")), "dedup-keys")
     heads = winners(keys).select(F.col("digest").alias("_dedup_digest"), F.col("keep_id").alias("_dedup_keep"), F.lit(True).alias("_dedup_heavy"))
     left = rows.join(heads, "_dedup_digest", "left").where(F.col("_dedup_heavy").isNull() | F.col(id).eqNullSafe(F.col("_dedup_keep")))
     group = Window.partitionBy("_dedup_digest").orderBy(F.col(id).asc_nulls_last())
