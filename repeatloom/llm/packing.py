@@ -4,8 +4,8 @@ Documents are tokenised and longer ones cut, so a row is a piece of at most `cap
 lengths (at most `capacity` rows whatever the corpus) is all the driver sees. Best-fit decreasing runs over counts: the
 items of one length go to the fullest open sequences that they fit, many at once, since sequences with equal room are
 alike. The plan says, for a range of ranks within a length, which sequences and which offset they take. Pieces get
-their rank within their length from chunked counts (SALTS chunks a length, so a length that a third of all pieces have
-is ranked in SALTS tasks) and look their slot up in the plan.
+their rank within their length from chunked counts (a chunk for each CHUNK pieces of a length, LEAST at least for a length
+with many, so a length that a third of all pieces have is ranked in many tasks) and look their slot up in the plan.
 
 Null text counts as empty: a document of the end token alone. Null or repeated ids keep their rows: each is a document of
 its own. Ties of length take slots in the order of (chunk, id, piece). Empty table: no rows.
@@ -26,7 +26,7 @@ from repeatloom.llm import common, vectext
 from repeatloom.llm.bpe import Codec
 
 CAPACITY = 2048
-SALTS = 256
+CHUNK, LEAST = 200_000, 64
 END, SPECIAL, SPECIAL_ID = 0, "<|endoftext|>", 50256  # fixed values of the public vocabulary
 
 
@@ -138,13 +138,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = table[:, 0].astype(object) * span + table[:, 1].astype(object)
     keys = np.array(keys, np.int64)  # length, then first rank
 
-    salt = F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
+    # chunks of each length: their number follows the counts; lengths with few pieces are one chunk
+    number = [max(-(-histogram.get(n, 0) // CHUNK), LEAST if histogram.get(n, 0) > 10 * LEAST else 1) for n in range(capacity + 1)]
+    chunk_of = F.element_at(F.lit(number), F.col("length").cast("int") + 1)
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("id", "piece"), chunk_of).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     chunks = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("length", "_salt").orderBy(F.col("id").asc_nulls_first(), "piece", "start")
-    # the chunk table has at most capacity * SALTS rows of 24 bytes: 12 MB
-    ranked = salted.withColumn("_within", F.row_number().over(within) - 1).join(F.broadcast(chunks), ["length", "_salt"])
+    # the chunk table has a row for CHUNK pieces and a few thousand more; its measured size decides how it is joined
+    ranked = salted.withColumn("_within", F.row_number().over(within) - 1).join(chunks, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_within"))
     given = list(pieces.columns)
     names = [*given, "sequence_id", "offset"]
