@@ -9,7 +9,7 @@ a partition owns the members whose local header begins in its range. It reads ea
 retries that member alone (reopening the file) when a read fails or the CRC differs; members stream out in Arrow batches.
 
 Null text is stored as the empty text. Null or repeated ids keep their rows: a member carries its own row's id. An empty
-table gives an archive directory without archives, and no rows. Other columns are not read. A text of any length is one
+table gives no archive and no rows. store_and_describe deletes the archives once their values are written. Other columns are not read. A text of any length is one
 member; memory is bounded by the longest text and by BATCH bytes.
 """
 
@@ -150,30 +150,44 @@ class ArchiveReader(DataSourceReader):
         found = [x for x in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)) if x.path.endswith(".zip")]
         return [ArchiveRange(x.path, x.size, a, min(a + self.step, x.size)) for x in sorted(found, key=lambda x: x.path) for a in range(0, x.size, self.step)] or [ArchiveRange("", 0, 0, 0)]
 
-    def member(self, system, file, part: ArchiveRange, offset: int, size: int, crc: int) -> tuple[bytes, object]:
-        """One member by offset; only it is read again after a failure."""
+    @staticmethod
+    def retried(what):
+        """The result of what(), tried again after a failure."""
         for left in range(TRIES - 1, -1, -1):
             try:
-                if file is None:
-                    file = system.open_input_file(part.path)
-                head = _LOCAL.unpack(file.read_at(_LOCAL.size, offset))
-                data = file.read_at(size, offset + _LOCAL.size + head[9] + head[10])
-                if len(data) != size or zlib.crc32(data) != crc:
-                    raise OSError(f"{part.path}: damaged member at {offset}")
-                return data, file
-            except (OSError, struct.error):
+                return what()
+            except (OSError, struct.error, ValueError):
                 if not left:
                     raise
-                file = None
                 time.sleep(0.1 * (TRIES - left))
 
+    def member(self, system, file, part: ArchiveRange, offset: int, size: int, crc: int) -> tuple[bytes, object]:
+        """One member by offset; only it is read again after a failure, from a file opened anew."""
+        held = [file]
+
+        def once() -> bytes:
+            own, held[0] = held[0] or system.open_input_file(part.path), None
+            head = _LOCAL.unpack(own.read_at(_LOCAL.size, offset))
+            data = own.read_at(size, offset + _LOCAL.size + head[9] + head[10])
+            if len(data) != size or zlib.crc32(data) != crc:
+                raise OSError(f"{part.path}: damaged member at {offset}")
+            held[0] = own
+            return data
+
+        return self.retried(once), held[0]
+
     def read(self, part: ArchiveRange) -> Iterator[pa.RecordBatch]:
         if not part.size:
             return
         system, _ = _filesystem(self.uri)
-        file = system.open_input_file(part.path)
+
+        def opened():
+            file = system.open_input_file(part.path)
+            return file, list(directory(file, part.size))
+
+        file, listed = self.retried(opened)
         rows, held = [], 0
-        for name, crc, size, offset in directory(file, part.size):
+        for name, crc, size, offset in listed:
             if part.start <= offset < part.end:
                 data, file = self.member(system, file, part, offset, size, crc)
                 rows.append((part.path, name, offset, data))
@@ -204,6 +218,11 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options)
 
 
+def member_name(row: int, key: str | None) -> str:
+    """The row's number, and its id in hexadecimal so that any id comes back as it was; without a second part the id is null."""
+    return f"{row:010d}.png" if key is None else f"{row:010d}-{key.encode('utf-8', 'surrogatepass').hex()}.png"
+
+
 def write_archives(df: DataFrame, uri: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Writes the archives when the returned manifest (archive, members, bytes) is read. Members are named by row and id."""
 
@@ -226,7 +245,7 @@ def write_archives(df: DataFrame, uri: str, text: str = "text", id: str = "doc_i
                 data = (text_.as_py() or "").encode("utf-8", "surrogatepass")
                 if writer is None:
                     writer = ArchiveWriter(system.open_output_stream(f"{top}/.{attempt}-{len(done)}"))
-                writer.add(f"{row:010d}-{'' if key is None else key}.png", to_png(padded(data), len(data)))
+                writer.add(member_name(row, key), to_png(padded(data), len(data)))
                 row += 1
                 if writer.at >= ARCHIVE:
                     finish()
@@ -243,7 +262,7 @@ def read_archives(spark: SparkSession, uri: str) -> DataFrame:
     """archive, name, offset, media, and id (string) from the member's name."""
     spark.dataSource.register(MediaArchive)
     out = spark.read.format("media_archive").option("path", uri).load()
-    return out.withColumn("id", F.nullif(F.regexp_extract("name", r"^\d+-(.*)\.png$", 1), F.lit("")))
+    return out.withColumn("id", F.when(F.contains("name", F.lit("-")), F.decode(F.unhex(F.regexp_extract("name", r"^\d+-([0-9a-f]*)\.png$", 1)), "UTF-8")))
 
 
 def features(payload: bytes) -> str:
@@ -277,7 +296,11 @@ def store_and_describe(df: DataFrame, text: str = "text", id: str = "doc_id") ->
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     write_archives(df, uri, text, id).agg(F.sum("members")).collect()
-    return describe(read_archives(spark, uri), df.schema[id].dataType.simpleString())
+    out = common.materialise(describe(read_archives(spark, uri), df.schema[id].dataType.simpleString()), "media-values")
+    system, top = _filesystem(uri)
+    if system.get_file_info(top).type.name == "Directory":  # an empty table makes none
+        system.delete_dir(top)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
