@@ -6,7 +6,7 @@ more than the wanted number of shards is found by search over [lower, upper]; ea
 several halvings a pass. The cuts of the smallest feasible capacity are the shards.
 
 Nothing gathers a group or the corpus: rows become (group, salt) chunks by a map-side combined aggregate, prefix sums
-run within ranges of the digest, the ranges' own sums (RANGES rows, a constant) are added in front, and the look-ups
+run within ranges of the digest, the ranges' own sums (one row for PER_RANGE rows of the corpus) are added in front, and the look-ups
 are aggregates over the chunk table, restricted to the byte windows in which a cut can lie, which the sorted files prune.
 
 Null text: size 1, CRC of no bytes, in a group with the empty texts. Null or repeated ids keep their rows: the slot
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from repeatloom.llm import common
 
-RANGES = 4096  # ranges of the digest with a prefix sum each
-SALTS = 4096  # chunks at most into which a group's rows are dealt
+PER_RANGE, LEAST_RANGES = 50_000, 256  # ranges of the digest with a prefix sum each follow the rows
+PER_SALT, LEAST_SALTS = 500_000, 128  # so do the chunks into which a group's rows are dealt
 CHECKS = 255  # capacities checked in one pass: eight halvings
 
 
@@ -72,10 +72,13 @@ def shard(df: DataFrame, size: Column, group: Column, id: Column, shards: int =
     """id, size, the extra columns, shard (0 to shards - 1), slot (gapless from 0 in each shard). Groups stay whole."""
     spark = df.sparkSession
     rows = common.materialise(
-        df.select(id.alias("id"), size.cast("long").alias("size"), group.alias("group"), F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int").alias("salt"), *[c.alias(k) for k, c in (extra or {}).items()]),
+        df.select(id.alias("id"), size.cast("long").alias("size"), group.alias("group"), *[c.alias(k) for k, c in (extra or {}).items()]),
         "shard-rows",
     )
-    bucket = F.conv(F.substring(F.hex("group"), 1, 3), 16, 10).cast("int")  # 12 bits: RANGES
+    n = rows.count()
+    bits = min(24, max(LEAST_RANGES, -(-n // PER_RANGE)).bit_length())
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(LEAST_SALTS, -(-n // PER_SALT)))).cast("int"))
+    bucket = F.shiftright(F.conv(F.substring(F.hex("group"), 1, 6), 16, 10).cast("int"), 24 - bits)
     chunks = rows.groupBy("group", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumn("range", bucket)
     inside = Window.partitionBy("range").orderBy("group", "salt")
     # sums of this chunk and those before it in its range; last: the group ends here
@@ -90,7 +93,7 @@ def shard(df: DataFrame, size: Column, group: Column, id: Column, shards: int =
         "shard-chunks",
     )
     sums = chunks.groupBy("range").agg(F.sum("bytes").alias("range_bytes"), F.sum("n").alias("range_n"))
-    front = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    front = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     base = sums.select("range", F.coalesce(F.sum("range_bytes").over(front), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("range_n").over(front), F.lit(0)).alias("n_before"))
     placed = chunks.join(F.broadcast(base), "range").select(
         "group", "salt", "range", "bytes", "n", "last", (F.col("bytes_before") + F.col("bytes_to")).alias("end"), (F.col("n_before") + F.col("n_to")).alias("n_end")
