@@ -2,9 +2,9 @@
 
 The library writes each space as U+2581, puts one before the text and merges the best-scored neighbouring pieces. No
 piece has that mark after another character (asserted on loading), so merges never leave a pre-token: a run of marks and
-what follows up to the next mark. On loading, each vocabulary string of that form is merged once; those that end as one
-token are proven whole. Pre-tokens among them count 1 without merging; only the others are merged (once for each
-distinct one of a block, and remembered).
+what follows up to the next mark. Before any text is read, the driver merges each vocabulary string of that form once; those
+that end as one token are proven whole, and their set is broadcast (at most the vocabulary). Pre-tokens among them count 1
+without merging; only the others are merged (once for each distinct one of a block, and remembered).
 
 Null and empty texts have no tokens. Rows are independent, so ties, repeats and empty tables need no special case; other
 columns of the input are not read.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,8 @@ MARK = "▁"
 
 
 class Counter:
-    def __init__(self, path: str, capacity: int = 1_500_000):
+    def __init__(self, path: str, whole: frozenset[str] | None = None, capacity: int = 700_000):
+        """whole: the strings proven to be one token; without it they are proven here."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -38,7 +38,7 @@ class Counter:
         assert not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces), "a piece spans pre-tokens"
         order = {s: k for k, s in enumerate(sorted(set(pieces.values()), reverse=True))}
         self.ranks = {p: order[s] for p, s in pieces.items()}
-        self.whole = {p for p in pieces if p[0] == MARK and self.merged(p) == 1}
+        self.whole = frozenset(p for p in pieces if p[0] == MARK and self.merged(p) == 1) if whole is None else whole
         self.memo = vectext.Memo(self._count, np.int32, capacity)
 
     def merged(self, word: str) -> int:
@@ -72,16 +72,23 @@ class Counter:
         return size, tokens
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
+    """One for each vocabulary and process."""
+    if path not in _counters:
+        _counters[path] = Counter(path, whole)
+    return _counters[path]
 
 
 def count(df: DataFrame, model: str, limit: int = LIMIT, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (more than limit tokens)."""
 
+    proof = df.sparkSession.sparkContext.broadcast(counter(model).whole)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(model)
+        c = counter(model, proof.value)
         for b in batches:
             at = 0
             for block in vectext.blocks(vectext.texts(b.column(1)), prefix=" "):
