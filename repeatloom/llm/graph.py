@@ -28,17 +28,17 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             raise RuntimeError(f"components not settled after {rounds} rounds")
         # large star: a node's larger neighbours go to its least neighbour
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = common.materialise(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "cc-least")
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = common.materialise(large, "cc-large")
         # small star: a node and its smaller neighbours go to the least of them
-        lower = common.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-lower")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         )
         after = common.materialise(small, "cc-edges")
         new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        common.discard(e, least, large, lower)
+        common.discard(e, large)
         e = after
         if tuple(new) == state:
             break

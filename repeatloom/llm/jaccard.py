@@ -14,11 +14,11 @@
    stored and counted once. The other block's items go down it together: at an edge each gains its overlap with the
    edge's shingles, and drops out of the subtree when the overlap so far plus the most that can remain is below what a
    link needs, when no size below it can link, or when all items below are known to be connected with it.
-5. Items that share prefix shingles meet first in blocks, then one item of each component found so far, so that large
-   groups of near copies become one component early. A prefix shingle all of whose items are in one component is closed.
-   What is left is exact: the items of every open shingle are compared as a group of their own (shingles with the same
-   items once), or all open items of a family (chained by open shingles) as one, whichever moves less.
-6. Links of a cell are reduced to a spanning forest; components of all forests are the result.
+5. Each item first meets others at the least item with which it shares a prefix shingle (its hub), in blocks that hold
+   the hub too, so that large groups of near copies become one component early. A prefix shingle all of whose items are in
+   one component is closed. What is left is exact: the items of every open shingle are compared as a group of their own
+   (shingles with the same items once), or all open items of a family (chained by open shingles) as one, whichever moves less.
+6. Links of a cell are reduced to stars; components of all stars are the result.
 
 No pair is dropped: there is no cap on partners, candidates or groups; m items that share a shingle and do not link take at
 most (m / BLOCK)^2 / 2 cells, dealt over all tasks. Nothing of the corpus but the fixed table of common shingles is collected
@@ -46,6 +46,7 @@ from repeatloom.llm import common, graph, vectext
 
 WORDS, NUM, DEN = 5, 75, 100
 BLOCK, CELL = 128, 400_000  # items of a block, shingles of a block
+OFTEN = 16  # rows an item in the exact comparison before families are looked at
 FLUSH = 500_000  # shingles of a run of sets
 PART = 1_000_000  # shingles of a range
 SHARE, HOTTEST = 128, 100_000  # common: in one of so many sets of some run; at most so many
@@ -188,17 +189,30 @@ _REPLY = np.dtype([("code", "<u8"), ("number", "<u2")])
 _SET = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("size", "<i8")])
 
 
+_WIDTH = {"token": 7, "set": 6}  # bytes kept of these: two different sets are taken for one with a chance of 2^-48
+
+
+def _width(kind: np.dtype, name: str) -> int:
+    return _WIDTH.get(name, kind[name].itemsize)
+
+
 def _dump(x: np.ndarray) -> bytes:
     """Column after column: alike values lie together, which the shuffle's compression uses."""
-    return b"".join(np.ascontiguousarray(x[c]).tobytes() for c in x.dtype.names)
+    out = []
+    for c in x.dtype.names:
+        raw = np.ascontiguousarray(x[c]).view(np.uint8).reshape(len(x), -1)
+        out.append(np.ascontiguousarray(raw[:, : _width(x.dtype, c)]).tobytes())
+    return b"".join(out)
 
 
 def _load(raw: memoryview, kind: np.dtype) -> np.ndarray:
-    n = len(raw) // kind.itemsize
-    out, at = np.empty(n, kind), 0
+    n = len(raw) // sum(_width(kind, c) for c in kind.names)
+    out, at = np.zeros(n, kind), 0
     for c in kind.names:
-        out[c] = np.frombuffer(raw, kind[c], n, at)
-        at += n * kind[c].itemsize
+        w, full = _width(kind, c), np.zeros((n, kind[c].itemsize), np.uint8)
+        full[:, :w] = np.frombuffer(raw, np.uint8, n * w, at).reshape(n, w)
+        out[c] = full.view(kind[c]).ravel()
+        at += n * w
     return out
 
 
@@ -460,7 +474,7 @@ def links(tokens_a: list[np.ndarray], sizes_a: np.ndarray, tokens_b: list[np.nda
 
 
 def _forest(found: list[tuple[int, np.ndarray]], keys_a: np.ndarray, keys_b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links."""
+    """The links' components as stars: (item, least item of its component)."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -469,16 +483,12 @@ def _forest(found: list[tuple[int, np.ndarray]], keys_a: np.ndarray, keys_b: np.
             x = parent[x]
         return x
 
-    out = []
     for i, js in found:
         a = int(keys_a[i])
         for j in js.tolist():
-            b = int(keys_b[j])
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[ra] = rb
-                out.append((a, b))
-    return out
+            x, y = sorted((find(a), find(int(keys_b[j]))))
+            parent[y] = x
+    return [(x, find(x)) for x in parent if find(x) != x]
 
 
 def _blocks() -> Column:
@@ -488,12 +498,15 @@ def _blocks() -> Column:
 
 def _blocked(groups: DataFrame, within: bool) -> DataFrame:
     """cell, side (0: stored in the tree, 1: goes down it, 2: both), and groups' columns. groups(group, node, size, known): each group
-    is cut into blocks by size band and hash. within: blocks meet only themselves (whole small groups do); else all that can link do."""
+    is cut into blocks by size band and hash. within: blocks (by hash) meet themselves and the item that the group is named
+    after; else all blocks that can link meet."""
     band: Column = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(DEN / NUM) + 1e-9).cast("int")
     whole = groups.groupBy("group").agg(_blocks().alias("blocks"))
     t = groups.withColumn("band", band).join(whole, "group")
     if within:
-        return t.select(F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("cell"), F.lit(2).alias("side"), *groups.columns)
+        own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
+        cells = F.when(F.col("node") == F.col("group"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own)
+        return t.withColumn("block", F.explode(cells)).select(F.xxhash64("group", "block").alias("cell"), F.lit(2).alias("side"), *groups.columns)
     small = t.where("blocks = 1").select(F.xxhash64("group").alias("cell"), F.lit(2).alias("side"), *groups.columns)
     large = t.where("blocks > 1").drop("blocks")
     counts = large.groupBy("group", "band").agg(_blocks().alias("n"))
@@ -517,7 +530,7 @@ def _compare(items: DataFrame, placed: DataFrame) -> DataFrame:
         edges: list[tuple[int, int]] = []
         groups = cell.column("group").to_numpy()
         for group in np.unique(groups).tolist():  # one, unless two cells share a hash
-            t = cell.filter(pa.array(groups == group))
+            t = cell.filter(pa.array(groups == group)).combine_chunks()
             side, keys, sizes, known = (t.column(c).to_numpy() for c in ("side", "node", "size", "known"))
             lists = t.column("tokens").combine_chunks()
             flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -532,72 +545,49 @@ def _compare(items: DataFrame, placed: DataFrame) -> DataFrame:
     return full.select("cell", "side", "group", "node", "size", "known", "tokens").groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def _joined(edges: DataFrame, more: DataFrame) -> DataFrame:
-    """node, root over two sets of edges; the first is a table of (node, root)."""
-    return graph.components(edges.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-
-def _open(prefix: DataFrame, linked: DataFrame) -> DataFrame:
-    """node, token, family, known, n, signature: the prefix shingles whose items are not all in one known component."""
-    t = prefix.join(linked.withColumnRenamed("root", "known"), "node", "left").withColumn("known", F.coalesce("known", "node"))
-    sums = t.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("signature"))
-    return t.join(sums.where("low < high").select("token", "n", "signature"), "token").select("node", "token", "family", "known", "n", "signature")
-
-
-def _families(prefix: DataFrame) -> DataFrame:
-    """node, root: items that share a prefix shingle, directly or in a chain."""
-    star = common.materialise(prefix.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub"), "jaccard-star")
-    out = graph.components(prefix.join(star, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    common.discard(star)
-    return out
-
-
 def link_components(items: DataFrame) -> DataFrame:
     """node, root: the components of the links, for items that have one."""
     prefix = common.materialise(items.where("prefix > 0").select("node", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "jaccard-prefix")
     sizes = items.select("node", "size")
-    families = _families(prefix)
-    # blocks of families: this settles small families, and most of the large ones
-    groups = families.join(sizes, "node").select(F.col("root").alias("group"), "node", "size", F.col("node").alias("known"))
-    linked = graph.components(_compare(items, _blocked(groups, within=True)))
-    large = common.materialise(_large(families, sizes), "jaccard-large")
-    for last in (False, False, True) if not large.isEmpty() else ():
-        left = common.materialise(_open(prefix.join(large, "node"), linked), "jaccard-open")
-        if left.isEmpty():
-            common.discard(left)
-            break
-        if last:  # all that can link and is not known to be connected
-            groups = _exact(left, sizes)
-        else:  # one item of each component
-            one = left.groupBy("family", "known").agg(F.min("node").alias("node"))
-            groups = one.join(sizes, "node").select(F.col("family").alias("group"), "node", "size", "known")
-        placed = common.materialise(_blocked(groups.select("group", "node", "size", "known"), within=not last), "jaccard-cells")
-        more = _joined(linked, _compare(items, placed))
-        common.discard(left, placed, linked)
-        linked = more
-    common.discard(prefix, families, large)
+    # each item meets others at the least item with which it shares a prefix shingle
+    star = common.materialise(prefix.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "hub"), "jaccard-star")
+    met = prefix.join(star, "token").groupBy("node").agg(F.min("hub").alias("group"))
+    met = common.materialise(met.unionByName(met.select(F.col("group").alias("node"), "group")).distinct().join(sizes, "node"), "jaccard-met")
+    linked = graph.components(_compare(items, _blocked(met.withColumn("known", F.col("node")), within=True)))
+    # the prefix shingles whose items are not all in one component so far
+    known = prefix.join(star, "token", "left_semi").join(linked.withColumnRenamed("root", "known"), "node", "left")
+    known = common.materialise(known.select("node", "token", F.coalesce("known", "node").alias("known")), "jaccard-known")
+    sums = known.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("signature"))
+    left = known.join(sums.where("low < high").select("token", "low", "n", "signature"), "token")
+    left = common.materialise(left, "jaccard-open")
+    common.discard(prefix, star, met, known)
+    if not left.isEmpty():
+        more = _compare(items, _blocked(_exact(left).join(sizes, "node"), within=False))
+        both = graph.components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        common.discard(linked)
+        linked = both
+    common.discard(left)
     return linked
 
 
-def _large(families: DataFrame, sizes: DataFrame) -> DataFrame:
-    """node, family: the items of families of several blocks; a family of one block is settled once it has met itself."""
-    t = families.join(sizes, "node")
-    large = t.groupBy("root").agg(_blocks().alias("blocks")).where("blocks > 1")
-    return t.join(large, "root").select("node", F.col("root").alias("family"))
-
-
-def _exact(left: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Groups (group, node, size, known) that hold every pair of open items which share an open shingle: for each family its open
-    shingles (those with the same items once), or the family's open items as one group, whichever moves fewer rows."""
-    by_token = left.groupBy("family", "n", "signature").agg(F.min("token").alias("token"))
-    cost = by_token.groupBy("family").agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("apart"))
-    nodes = left.select("family", "node", "known").distinct()
-    size = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    choice = cost.join(size, "family").select("family", (F.col("apart") < F.col("m") * F.ceil(F.col("m") / BLOCK)).alias("by_token"))
-    choice = common.materialise(choice, "jaccard-choice")
-    apart = left.join(choice.where("by_token"), "family").join(by_token.select("family", "token"), ["family", "token"], "left_semi")
-    groups = apart.select(F.xxhash64("family", "token").alias("group"), "node", "known").unionByName(nodes.join(choice.where("not by_token"), "family").select(F.xxhash64("family").alias("group"), "node", "known"))
-    return groups.join(sizes, "node")
+def _exact(left: DataFrame) -> DataFrame:
+    """Groups (group, node, known) that hold every pair of open items which share an open shingle. left(node, token, known, low, n,
+    signature). A shingle's items are a group; shingles with the same items are one. Where that moves items often, families
+    (components chained by open shingles) are groups instead if that moves fewer rows."""
+    by_token = left.groupBy("n", "signature").agg(F.min("token").alias("token"), F.min("low").alias("low"))
+    apart = left.join(by_token.select("token"), "token", "left_semi").select("token", "node", "known", "low", "n")
+    moves = F.col("n") * F.ceil(F.col("n") / BLOCK)
+    often, nodes = by_token.agg(F.sum(moves)).first()[0], left.agg(F.count_distinct("node")).first()[0]
+    if often <= OFTEN * nodes:
+        return apart.select(F.xxhash64("token").alias("group"), "node", "known")
+    families = graph.components(left.select(F.col("known").alias("a"), F.col("low").alias("b")))
+    of = lambda t, c: t.join(families.select(F.col("node").alias(c), F.col("root").alias("family")), c)
+    own = of(left.select("node", "known").distinct(), "known")
+    size = own.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    cost = of(by_token, "low").groupBy("family").agg(F.sum(moves).alias("apart")).join(size, "family")
+    choice = common.materialise(cost.select("family", (F.col("apart") < F.col("m") * F.ceil(F.col("m") / BLOCK)).alias("by_token")), "jaccard-choice")
+    one = of(apart, "low").join(choice.where("by_token"), "family").select(F.xxhash64("token").alias("group"), "node", "known")
+    return one.unionByName(own.join(choice.where("not by_token"), "family").select(F.xxhash64("family").alias("group"), "node", "known"))
 
 
 def near_components(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
