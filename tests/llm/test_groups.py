@@ -63,6 +63,13 @@ def test_shards(spark, docs, none):
     check_shards(hot, shards_of(hot))
 
 
+def test_shard_query(spark):
+    rows = registry.QUERIES["op2_minimax_shards"](spark, SF).collect()
+    given = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == sorted((k, len(t) + 1, zlib.crc32(t)) for k, t in given.items())
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)} and {r["shard"] for r in rows} == set(range(8))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_capacity(spark, seed):
     rng = random.Random(seed)
@@ -107,6 +114,7 @@ def test_dedup(spark, docs, none, monkeypatch):
     monkeypatch.setattr(dedup, "COUNTERS", 4)
     hot = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("same\t"), F.repeat(F.lit(" "), (F.col("id") % 5).cast("int")), F.lit("text"))).otherwise(F.col("id").cast("string")).alias("text"))
     check_dedup(hot.unionByName(hot.limit(3)))
+    check_dedup(hot.limit(40).unionByName(spark.range(50).select(F.lit(0).cast("long").alias("doc_id"), F.lit("same text").alias("text"))))  # rows that repeat wholly
     assert dedup.decide(none, dedup.normal_digest(none["text"]), none["doc_id"]).count() == 0
     assert dedup.unique(docs).columns == docs.columns
 
@@ -178,11 +186,25 @@ def test_join(spark, docs, none, monkeypatch):
     check_join(near_copies(spark, 150, 1, 8))
     monkeypatch.setattr(jaccard, "BLOCK", 16)  # families of many blocks
     monkeypatch.setattr(jaccard, "FLUSH", 500)
+    monkeypatch.setattr(jaccard, "OFTEN", 1)
     check_join(near_copies(spark, 150, 2, 6))
     kept = jaccard.one_of_each(near_copies(spark, 60, 3, 2)).collect()
     assert len(kept) == len({c for *_, c in slow_components(near_copies(spark, 60, 3, 2).collect())})
 
 
+def test_join_of_words_that_differ_by_structure(spark):
+    """Words whose polynomial hashes agree in any base, and texts of a hundred thousand words."""
+    thue = ["".join("ab"[(bin(i).count("1") + side) & 1] for i in range(2048)) for side in (0, 1)]
+    rng = random.Random(2)
+    long = [f"w{rng.randint(0, 10**9)}" for _ in range(100_000)]
+    other = list(long)
+    for _ in range(2000):
+        other[rng.randrange(len(other))] = "x"
+    rows = [(i, " ".join(["one two three four", t, "five six seven"])) for i, t in enumerate(thue)]
+    rows += [(10, " ".join(long)), (11, " ".join(other)), (12, " ".join(long[:60_000]))]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_links_in_a_cell():
     rng = np.random.default_rng(0)
     for _ in range(60):
