@@ -141,7 +141,7 @@ def encode(df: DataFrame, ranks: str, text: str = "text", id: str = "doc_id") ->
                 at += len(block)
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id)
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id)
 
 
 def decode(df: DataFrame, ranks: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -154,7 +154,7 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", id: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["id", "bytes"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[ids]).mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id)
+    return df.select(df[id], df[ids]).mapInArrow(common.tidy(run), f"id {kind}, bytes binary").withColumnRenamed("id", id)
 
 
 def round_trip_digests(df: DataFrame, ranks: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -182,7 +182,7 @@ def round_trip_digests(df: DataFrame, ranks: str, text: str = "text", id: str =
                 at += len(block)
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)
 
 
 def _joined(ids: np.ndarray) -> tuple[bytes, np.ndarray]:

@@ -69,6 +69,18 @@ def release() -> None:
         _libc().malloc_trim(0)
 
 
+def tidy(run):
+    """run, a function over a task's Arrow batches, with release() at the task's end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def draw(rows: DataFrame, rank: Column, n: int, by: str | None = None) -> DataFrame:
     """At most n rows, or n of each group of by: those of least rank, a uniform 64-bit hash.
 

@@ -61,7 +61,7 @@ def frequent(df: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
 
     # Summaries merge by adding: a key over 1 in k of all rows keeps a positive count in some task's summary, and its
     # sum is short by at most rows / (k + 1). The null key carries the number of rows.
-    sums = df.select(key).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    sums = df.select(key).mapInArrow(common.tidy(run), "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
     best = sums.orderBy(F.col("key").isNull().desc(), F.col("n").desc(), "key").limit(2 * k + 1)  # the row count, then the largest sums
     return best.where("key is not null").select(F.col("key").alias(key), F.col("n").alias("at_least"))
 

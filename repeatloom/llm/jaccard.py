@@ -173,10 +173,9 @@ def _members(df: DataFrame, text: str, id: str) -> DataFrame:
                     yield common_ones()
         if held.n:
             yield common_ones()
-        common.release()
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, k1 long, k2 long, n_shingles long, token long, n long")
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, k1 long, k2 long, n_shingles long, token long, n long")
 
 
 def set_keys(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -276,9 +275,8 @@ def _dealt(df: DataFrame, text: str, parts: int, hot) -> DataFrame:
             if rows:
                 yield _batch(rows)
             flush += 1
-        common.release()
 
-    return df.select(df[text]).mapInArrow(run, _ROWS)
+    return df.select(df[text]).mapInArrow(common.tidy(run), _ROWS)
 
 
 def _answer(entry: np.ndarray, flush: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,9 +340,8 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
             rows = [(0, int(f[a]), _ALL, _dump(reply[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(f)])]
             for a in range(0, len(rows), 256):
                 yield _batch(rows[a : a + 256])
-        common.release()
 
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, _ROWS).drop("part")
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(common.tidy(run), _ROWS).drop("part")
 
 
 def _items(shared: DataFrame, parts: int) -> DataFrame:
@@ -379,10 +376,9 @@ def _items(shared: DataFrame, parts: int) -> DataFrame:
                 e = min(a + 1000, len(n))
                 lists = pa.ListArray.from_arrays(pa.array(bounds[a : e + 1] - bounds[a], pa.int32()), pa.array(tokens[bounds[a] : bounds[e]]))
                 yield pa.RecordBatch.from_arrays([pa.array(node[a:e]), pa.array(head["k1"][a:e]), pa.array(head["k2"][a:e]), pa.array(size[a:e]), lists, pa.array(prefix[a:e], pa.int32())], names=names)
-        common.release()
 
     names = ["node", "k1", "k2", "size", "tokens", "prefix"]
-    return shared.repartition(parts, "flush").mapInArrow(run, "node long, k1 long, k2 long, size long, tokens array<long>, prefix int")
+    return shared.repartition(parts, "flush").mapInArrow(common.tidy(run), "node long, k1 long, k2 long, size long, tokens array<long>, prefix int")
 
 
 def need(a, b):

@@ -274,7 +274,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id")
                 at += len(block)
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
 
 
 def fold(id: Column, folds: int) -> Column:

@@ -255,7 +255,7 @@ def write_archives(df: DataFrame, uri: str, text: str = "text", id: str = "doc_i
         cols = list(zip(*done)) if done else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["archive", "members", "bytes"])
 
-    return df.select(df[id].cast("string"), df[text]).mapInArrow(run, "archive string, members long, bytes long")
+    return df.select(df[id].cast("string"), df[text]).mapInArrow(common.tidy(run), "archive string, members long, bytes long")
 
 
 def read_archives(spark: SparkSession, uri: str) -> DataFrame:
@@ -286,7 +286,7 @@ def describe(media: DataFrame, kind: str = "bigint") -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.select(F.col("id").cast(kind), "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(F.col("id").cast(kind), "media").mapInArrow(common.tidy(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def store_and_describe(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

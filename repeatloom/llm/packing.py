@@ -81,7 +81,7 @@ def tokenise(df: DataFrame, ranks: str, capacity: int = CAPACITY, text: str = "t
 
     names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in given], pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(run, schema)
+    return ranked.select(*pieces.columns, "_rank").mapInArrow(common.tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, ranks: str, capacity: int = CAPACITY) -> DataFrame:

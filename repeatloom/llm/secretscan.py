@@ -206,7 +206,7 @@ def scan(df: DataFrame, detector: Detector, text: str = "text", id: str = "doc_i
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string").withColumnRenamed("id", id)
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string").withColumnRenamed("id", id)
 
 
 def redact(df: DataFrame, detector: Detector, text: str = "text", mark: str = "[SECRET]") -> DataFrame:

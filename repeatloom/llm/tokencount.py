@@ -97,7 +97,7 @@ def count(df: DataFrame, model: str, limit: int = LIMIT, text: str = "text", id:
                 at += len(block)
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(df[id], df[text]).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id)
+    return df.select(df[id], df[text]).mapInArrow(common.tidy(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

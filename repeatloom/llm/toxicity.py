@@ -165,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     picked = docs.sparkSession.createDataFrame(chosen, drawn.schema)
     rows = texts.join(F.broadcast(picked), "id").select("id", "text", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["label"], r["text"]))
-    return train([r["text"] for r in rows], np.array([int(r["label"] > 0) for r in rows]))
+    model = train([r["text"] for r in rows], np.array([int(r["label"] > 0) for r in rows]))
+    del rows
+    common.release()
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -184,7 +187,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
     given = df.select(*[df[c] for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", score double, worst_score double, worst_start long, worst_end long"
-    return df.select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].alias("_text")).mapInArrow(common.tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
