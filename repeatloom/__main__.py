@@ -29,7 +29,6 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from repeatloom.operators.arrays import class_breakdown
     from repeatloom.plans import annotate
 
     logging.basicConfig(level=logging.WARNING if args.quiet else logging.INFO, format="%(asctime)s %(message)s", stream=sys.stdout)
@@ -38,12 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         builder = builder.master(f"local[{args.processes}]")
     spark = builder.getOrCreate()
     cfg = Config(max_repeat=args.max_rep_size, min_repeat=args.min_rep_size)
-    out = annotate.run(spark, args.fasta, args.output, cfg, args.templates)
-    if out is None:
-        logging.warning("no record in %s", args.fasta)
-    else:
-        for row in class_breakdown(out.summary).collect():
-            logging.info("class %s: %d arrays, median length %g, %d bp", row["class"], row["arrays"], row["median_length"], row["span"])
+    annotate.run(spark, args.fasta, args.output, cfg, args.templates)
     return 0
 
 

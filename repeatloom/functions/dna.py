@@ -45,8 +45,9 @@ def rotations(s: Column) -> Column:
 
 
 def both_strands(s: Column) -> Column:
-    """Rotations of the string, then of its reverse complement."""
-    return F.concat(rotations(s), rotations(reverse_complement(s)))
+    """Rotations by 1, 2, ..., all letters (the string itself), then the reverse complement of each."""
+    turned = F.transform(positions(F.length(s)), lambda i: F.concat(F.substring(s, i + 1, F.length(s)), F.substring(s, F.lit(1), i)))
+    return F.concat(turned, F.transform(turned, reverse_complement))
 
 
 def least_rotation(s: Column) -> Column:
@@ -59,19 +60,5 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(differ, F.lit(0), lambda n, d: n + d)
 
 
-def length_band(a: Column, b: Column, share: float) -> Column:
-    """b's length lies within share of a's, bounds rounded outwards."""
-    return F.length(b).between(F.floor(F.length(a) * (1 - share)), F.ceil(F.length(a) * (1 + share)))
-
-
-def clamp(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(x, F.lit(high) if not isinstance(high, Column) else high))
-
-
 def count_of(s: Column, base: str) -> Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(base), F.lit("")))).cast("long")
-
-
-def coverage(source: Column, target: Column) -> Column:
-    """How many of source's k-mers, repeats counted, occur in target."""
-    return F.size(F.filter(source, lambda x: F.array_contains(target, x)))

@@ -113,10 +113,10 @@ def kmer_clusters(seq: str, cfg: Config) -> list[np.ndarray]:
     for i in np.flatnonzero(clear_of_n(seq, k)).tolist():
         where.setdefault(seq[i : i + k], []).append(i + 1)
     ranked = sorted(((len(p), w) for w, p in where.items() if len(p) >= 2), key=lambda x: (-x[0], x[1]))
-    need = len(seq) // 1000 + 1
-    if need > 2 and ranked:
-        ranked = [x for x in ranked if x[0] >= need] or ranked[: -(-len(ranked) // 10)]
-    ranked = sorted(ranked[:5000])
+    need = len(ranked) // 1000 + 1  # of the repeated k-mers
+    if need > 2:
+        ranked = [x for x in ranked if x[0] >= need][:5000] or ranked[: -(-len(ranked) // 10)]
+    ranked.sort()
     if not ranked:
         return []
     letters = np.frombuffer("".join(w for _, w in ranked).encode(), np.uint8).reshape(-1, k)
@@ -285,6 +285,8 @@ def align_to_seed(seed: str, member: str, k: int = 6) -> str:
     if not seed or not member or not len(member) <= 2 * len(seed):
         return member
 
+    reach = -(-(len(member) + k) // len(member)) * len(member)
+
     def ring(s: str) -> list[str]:
         twice = s * (1 + -(-k // len(s)))
         return [twice[i : i + k] for i in range(len(s))]
@@ -293,17 +295,15 @@ def align_to_seed(seed: str, member: str, k: int = 6) -> str:
         n, where = len(s), {}
         for j, word in enumerate(ring(s)):
             where.setdefault(word, []).append(j)
-        return [min((j - i) % n for j in where[word]) for i, word in enumerate(ring(seed)) if word in where]
+        near = [(i, min((j - i) % n for j in where[word])) for i, word in enumerate(ring(seed)) if word in where]
+        return [o for i, o in near if i + o < reach]  # a seed longer than the member looks for it a second time round, and no further
 
     other = reverse_complement(member)
     fw, rc = offsets(member), offsets(other)
     if not fw and not rc:
         return member
     chosen, found = (member, fw) if len(fw) > len(rc) else (other, rc)
-    moved = [o for o in found if o]
-    if not moved or 2 * (len(found) - len(moved)) > len(found):
-        return chosen
-    value, count = np.unique(moved, return_counts=True)
+    value, count = np.unique(found, return_counts=True)
     shift = int(value[np.argmax(count)])
     return chosen[shift:] + chosen[:shift]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from repeatloom.config import ARRAYS, CLASS_ARRAYS, REPEATS, REPEATS_WITH_SEQUENCE, Config, columns
 from repeatloom.functions import dna, kernels
-from repeatloom.operators import units
+from repeatloom.operators import extract, units
 
 _REP = REPEATS + ", representative string"
 
@@ -22,10 +22,10 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-def split_regions(regions: DataFrame, sequences: DataFrame, cfg: Config) -> DataFrame:
-    """The arrays of each region, in sequence coordinates. regions(seq_id, start, end), sequences(seq_id, num_id, seq)."""
-    cut = F.substring(F.col("seq").cast("binary"), F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")).cast("string")
-    texts = regions.join(sequences.select("seq_id", "num_id", "seq"), "seq_id").select(F.col("seq_id").cast("string"), F.col("num_id").cast("long"), F.col("start").cast("long"), cut.alias("text"))
+def split_regions(regions: DataFrame, sequences: DataFrame, pieces: DataFrame, cfg: Config) -> DataFrame:
+    """The arrays of each region, in sequence coordinates. regions(seq_id, start, end), sequences(seq_id, num_id), pieces of the same."""
+    own = regions.join(sequences.select("seq_id", "num_id"), "seq_id").select(F.col("seq_id").cast("string"), F.col("num_id").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
+    texts = extract.texts(own, pieces, "seq_id", F.col("start"), F.col("end"), "text").select("seq_id", "num_id", "start", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,17 +118,18 @@ def classify(arrays: DataFrame, cfg: Config, save, template_names: list[str] = (
     return t.withColumn("array_num_ID", F.row_number().over(Window.orderBy("seqID", "start", "end")).cast("long")).select(*columns(CLASS_ARRAYS))
 
 
-def map_arrays(arrays: DataFrame, sequences: DataFrame, cfg: Config, templates: DataFrame | None = None) -> DataFrame:
+def map_arrays(arrays: DataFrame, sequences: DataFrame, pieces: DataFrame, cfg: Config, templates: DataFrame | None = None) -> DataFrame:
     """REPEATS and the array's own representative: one row for each copy. Each array carries its own text and max_repeat bases on each side."""
     margin = cfg.max_repeat
-    left = F.greatest(F.lit(1), F.col("start") - margin).cast("int")
-    context = F.substring(F.col("seq").cast("binary"), left, (F.col("end") + margin - left + 1).cast("int")).cast("string")
-    t = arrays.where("representative != '' and class != 'none_identified'").join(sequences.select(F.col("seq_id").cast("string").alias("seqID"), "seq"), "seqID")
+    left = F.greatest(F.lit(1), F.col("start") - margin)
+    t = arrays.where("representative != '' and class != 'none_identified'").join(sequences.select(F.col("seq_id").cast("string").alias("seqID"), "length"), "seqID")
+    t = t.select("seqID", "array_num_ID", "start", "end", "class", "representative", "top_N", (left - 1).cast("long").alias("offset"), F.least(F.col("end") + margin, F.col("length")).alias("right"))
+    t = extract.texts(t, pieces, "seqID", F.col("offset") + 1, F.col("right"), "context")
     if templates is None:
         t = t.withColumn("template", F.lit(""))
     else:
         t = t.join(templates.select(F.col("name").alias("class"), F.col("seq").alias("template")), "class", "left").withColumn("template", F.coalesce("template", F.lit("")))
-    t = t.select("seqID", "array_num_ID", "start", "end", "class", "representative", "top_N", "template", (left - 1).cast("long").alias("offset"), context.alias("context"))
+    t = t.select("seqID", "array_num_ID", "start", "end", "class", "representative", "top_N", "template", "offset", "context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,11 +143,10 @@ def map_arrays(arrays: DataFrame, sequences: DataFrame, cfg: Config, templates:
     return t.mapInArrow(run, _REP)
 
 
-def with_sequence(repeats: DataFrame, sequences: DataFrame) -> DataFrame:
+def with_sequence(repeats: DataFrame, pieces: DataFrame) -> DataFrame:
     """REPEATS_WITH_SEQUENCE: each copy's text, reverse-complemented on the minus strand."""
-    t = repeats.join(sequences.select(F.col("seq_id").cast("string").alias("seqID"), "seq"), "seqID")
-    cut = F.substring(F.col("seq").cast("binary"), F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")).cast("string")
-    return t.withColumn("sequence", F.when(F.col("strand") == "-", dna.reverse_complement(cut)).otherwise(cut)).select(*columns(REPEATS_WITH_SEQUENCE))
+    t = extract.texts(repeats.select(*columns(REPEATS)), pieces, "seqID", F.col("start"), F.col("end"), "text")
+    return t.withColumn("sequence", F.when(F.col("strand") == "-", dna.reverse_complement(F.col("text"))).otherwise(F.col("text"))).select(*columns(REPEATS_WITH_SEQUENCE))
 
 
 def class_breakdown(arrays: DataFrame, most: int = 8) -> DataFrame:

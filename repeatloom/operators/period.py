@@ -2,43 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatloom.functions import dna
+from repeatloom.functions import scan
+
+
+def _words(part: str, at: np.ndarray, k: int) -> pa.Array:
+    """The k-mers at these places of a piece."""
+    raw = scan.codes(part)
+    flat = raw[(at[:, None] + np.arange(k)).ravel()] if len(at) else raw[:0]
+    return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * k, k, dtype=np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def each(sequences: DataFrame, names: list[str], types: list[str], rows) -> DataFrame:
+    """rows(text) yields lists of columns; seq_id goes before them. One pass over each sequence, no shuffle."""
+    kind = sequences.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column(1)):
+                for cols in rows(text.as_py() or ""):
+                    if len(cols[0]):
+                        own = b.column(0).slice(i, 1).take(pa.array(np.zeros(len(cols[0]), np.int64)))
+                        yield pa.RecordBatch.from_arrays([own, *map(pa.array, cols)], names=["seq_id", *names])
 
+    return sequences.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
-def kmer_positions(sequences: DataFrame, k: int, step: int = 1000) -> DataFrame:
-    """seq_id, kmer, pos: every k-mer without n, positions from 1.
 
-    Sequences are cut into overlapping pieces first: finding a character in a long string takes time in its position, so
-    k-mers taken from the whole string would cost the square of its length."""
-    number = F.ceil((F.col("length") - k) / F.lit(step)).cast("int")
-    piece = sequences.where(F.col("length") > k).select("seq_id", "length", "seq", F.explode(F.sequence(F.lit(0), number - 1)).alias("i"))
-    piece = piece.select("seq_id", (F.col("i") * step).alias("base"), F.substring(F.col("seq").cast("binary"), F.col("i") * step + 1, F.least(F.lit(step + k), F.col("length").cast("int") - F.col("i") * step)).cast("string").alias("piece"))
-    hits = piece.select("seq_id", "base", F.posexplode(dna.kmers(F.col("piece"), k)).alias("at", "kmer"))
-    return hits.where(~F.col("kmer").contains("n")).select("seq_id", "kmer", (F.col("base") + F.col("at") + 1).cast("long").alias("pos"))
+def kmer_positions(sequences: DataFrame, k: int, begins: str = "", ends: str = "") -> DataFrame:
+    """seq_id, kmer, pos: every k-mer without n (that begins and ends so), positions from 1."""
 
+    def rows(text: str):
+        for a, at, _, part in scan.kmer_places(text, k):
+            raw = scan.codes(part)
+            for j, c in [*enumerate(begins), *((k - len(ends) + j, c) for j, c in enumerate(ends))]:
+                at = at[raw[at + j] == ord(c)]
+            yield [_words(part, at, k), a + at + 1]
 
-def kmer_counts(positions: DataFrame, least: int = 2) -> DataFrame:
-    return positions.groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last")).where(F.col("n") >= least)
+    return each(sequences, ["kmer", "pos"], ["string", "long"], rows)
 
 
-def frequent_kmers(counts: DataFrame, sequences: DataFrame) -> DataFrame:
-    """The adaptive cut: with a threshold of a thousandth of the length and one above 2, k-mers from the threshold on are kept,
-    or, if none reaches it, the most frequent tenth; never more than 5000. Order: most frequent first, then by name."""
+def kmer_counts(sequences: DataFrame, k: int, least: int = 2) -> DataFrame:
+    """seq_id, kmer, n, first, last of k-mers that occur often enough. Each piece of a sequence counts its own; only sequences of
+    several pieces are summed up in a shuffle."""
+
+    def rows(text: str):
+        whole = len(text) <= scan.PIECE
+        for a, at, ids, part in scan.kmer_places(text, k):
+            head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+            n = np.diff(np.append(head, len(ids)))
+            last = head + n - 1
+            if whole:
+                head, last, n = (x[n >= least] for x in (head, last, n))
+            yield [_words(part, at[head], k), n, a + at[head] + 1, a + at[last] + 1]
+
+    names, types = ["kmer", "n", "first", "last"], ["string", "long", "long", "long"]
+    short = each(sequences.where(F.length("seq") <= scan.PIECE), names, types, rows)
+    long = each(sequences.where(F.length("seq") > scan.PIECE), names, types, rows)
+    summed = long.groupBy("seq_id", "kmer").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).where(F.col("n") >= least)
+    return short.unionByName(summed)
+
+
+def frequent_kmers(counts: DataFrame) -> DataFrame:
+    """The adaptive cut, by the number of the sequence's repeated k-mers: with a threshold (a thousandth of it and one) above 2,
+    k-mers from the threshold on are kept, 5000 at most, or, if none reaches it, the most frequent tenth. Order: most frequent
+    first, then by name."""
     rank = Window.partitionBy("seq_id").orderBy(F.col("n").desc(), "kmer")
     every = Window.partitionBy("seq_id")
-    t = counts.join(sequences.select("seq_id", (F.floor(F.col("length") / 1000) + 1).alias("need")), "seq_id")
-    t = t.withColumns({"rank": F.row_number().over(rank), "total": F.count(F.lit(1)).over(every), "most": F.max("n").over(every)})
-    kept = (F.col("need") <= 2) | F.when(F.col("most") >= F.col("need"), F.col("n") >= F.col("need")).otherwise(F.col("rank") <= F.ceil(F.col("total") / 10))
-    return t.where(kept).where("rank <= 5000").select("seq_id", "kmer", "n", F.col("rank").cast("long").alias("rank"))
+    t = counts.withColumns({"rank": F.row_number().over(rank), "total": F.count(F.lit(1)).over(every), "most": F.max("n").over(every)})
+    t = t.withColumn("need", F.floor(F.col("total") / 1000) + 1)
+    often = F.when(F.col("most") >= F.col("need"), (F.col("n") >= F.col("need")) & (F.col("rank") <= 5000)).otherwise(F.col("rank") <= F.ceil(F.col("total") / 10))
+    return t.where((F.col("need") <= 2) | often).select("seq_id", "kmer", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def distances(sequences: DataFrame, k: int, least: int, most: int) -> DataFrame:
+    """seq_id, kmer, pos, dist: from each occurrence to the next one of the same k-mer, where it is a possible period. The next
+    one lies within most characters, so pieces that overlap by that much need no shuffle, and no k-mer is a hot key."""
 
+    def rows(text: str):
+        for a, at, gap, part in scan.next_distances(text, k, least, most):
+            yield [_words(part, at, k), a + at + 1, gap]
 
-def distances(positions: DataFrame, least: int, most: int) -> DataFrame:
-    """seq_id, kmer, pos, dist: from each occurrence to the next one of the same k-mer, where it is a possible period."""
-    by = Window.partitionBy("seq_id", "kmer").orderBy("pos")
-    return positions.withColumn("dist", F.lead("pos").over(by) - F.col("pos")).where(F.col("dist").between(least, most))
+    return each(sequences, ["kmer", "pos", "dist"], ["string", "long", "long"], rows)
 
 
 def distance_windows(dist: DataFrame, sequences: DataFrame, size: int = 1000, step: int = 100) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatloom.functions import dna
+from repeatloom.functions import dna, scan
+from repeatloom.operators import period
 
 
 def hamming_pairs(table: DataFrame, most: int) -> DataFrame:
@@ -25,23 +26,13 @@ def hamming_pairs(table: DataFrame, most: int) -> DataFrame:
 
 
 def pattern_hits(sequences: DataFrame, pattern: str, most: int) -> DataFrame:
-    """seq_id, pos, mismatches: every place where the pattern fits with at most that many mismatches. No window of text is shuffled."""
-    n = len(pattern)
-    split = F.split("seq", "")
-
-    def misses(i):
-        out = F.lit(0)
-        for k, c in enumerate(pattern):
-            out = out + (F.element_at("chars", i + k) != c).cast("int")
-        return out
-
-    found = F.filter(F.transform(dna.positions(F.col("length") - n + 1), lambda i: F.struct(i.cast("long").alias("pos"), misses(i).cast("long").alias("mismatches"))), lambda s: s["mismatches"] <= most)
-    return sequences.where(F.col("length") >= n).withColumn("chars", split).select("seq_id", F.explode(found).alias("h")).select("seq_id", "h.pos", "h.mismatches")
+    """seq_id, pos, mismatches: every place where the pattern fits with at most that many mismatches; one pass over pieces of each sequence."""
+    return period.each(sequences, ["pos", "mismatches"], ["long", "long"], lambda text: ([at + 1, misses] for at, misses in scan.hamming_places(text, pattern, most)))
 
 
 def gated_distances(table: DataFrame, templates: DataFrame, share: float) -> DataFrame:
     """unit_id, name, distance: edit distances to the templates of fitting length. Meeting by length keeps this an equi-join."""
-    t = templates.select("name", F.col("seq").alias("template"), F.length("seq").alias("length"))
+    t = templates.select("name", "place", F.col("seq").alias("template"), F.length("seq").alias("length"))
     low, high = F.floor(F.length("seq") * (1 - share)).cast("int"), F.ceil(F.length("seq") * (1 + share)).cast("int")
     u = table.select("unit_id", "seq", F.explode(F.sequence(low, high)).alias("length"))
     return u.join(t, "length").select("unit_id", "name", F.levenshtein("seq", "template").cast("long").alias("distance"))
@@ -49,14 +40,15 @@ def gated_distances(table: DataFrame, templates: DataFrame, share: float) -> Dat
 
 def best_template(table: DataFrame, templates: DataFrame, share: float) -> DataFrame:
     """unit_id, name, rotation, score, turned: over all rotations of both strands and all templates of fitting length, the least
-    edit distance over the greater length; of equals the first template, then the first rotation."""
+    edit distance over the greater length; of equals the first template (in file order, column place), then the first rotation
+    (by one letter, by two, ..., the unit itself; then their reverse complements)."""
     low, high = F.floor(F.length("seq") * (1 - share)).cast("int"), F.ceil(F.length("seq") * (1 + share)).cast("int")
-    t = templates.select("name", F.col("seq").alias("template"), F.length("seq").alias("t_length"), F.explode(F.sequence(low, high)).alias("length"))
+    t = templates.select("name", "place", F.col("seq").alias("template"), F.length("seq").alias("t_length"), F.explode(F.sequence(low, high)).alias("length"))
     u = table.select("unit_id", F.length("seq").alias("length"), F.posexplode(dna.both_strands(F.col("seq"))).alias("turn", "turned"))
     score = F.levenshtein("turned", "template") / F.greatest("length", "t_length")
-    order = Window.partitionBy("unit_id").orderBy("score", "name", "rotation")
-    scored = u.join(t, "length").select("unit_id", "name", (F.col("turn") + 1).cast("long").alias("rotation"), score.alias("score"), "turned")
-    return scored.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
+    order = Window.partitionBy("unit_id").orderBy("score", "place", "rotation")
+    scored = u.join(t, "length").select("unit_id", "name", "place", (F.col("turn") + 1).cast("long").alias("rotation"), score.alias("score"), "turned")
+    return scored.withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i", "place")
 
 
 def coverage_pairs(table: DataFrame, k: int, share: float) -> DataFrame:

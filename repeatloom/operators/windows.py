@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatloom.functions import dna
+from repeatloom.functions import scan
 
 
 def tiles(sequences: DataFrame, size: int) -> DataFrame:
-    """seq_id, win_idx, start, end, seq (the window's own text): windows of size from 1, size + 1, ...; the last begins before length - size, and each ends size further on at most.
+    """seq_id, length, win_idx, start, end: windows of size from 1, size + 1, ...; the last begins before length - size, and each ends size further on at most.
 
-    Sequences shorter than the tile give no window."""
+    Sequences shorter than the tile give no window. Texts are not read."""
     n = F.col("length")
     number = F.greatest(F.lit(1), F.ceil((n - size) / F.lit(size))).cast("int")
     return (
         sequences.where(n >= size)
-        .select("seq_id", "length", "seq", F.explode(F.sequence(F.lit(0), number - 1)).alias("win_idx"))
-        .select(
-            "seq_id", "length", F.col("win_idx").cast("long").alias("win_idx"), (F.col("win_idx") * size + 1).cast("long").alias("start"), (F.col("win_idx") * size + size).cast("long").alias("end"),
-            # bytes, not characters: the place of a byte in a long sequence is known at once
-            F.substring(F.col("seq").cast("binary"), F.col("win_idx") * size + 1, F.lit(size)).cast("string").alias("window"),
-        )
+        .select("seq_id", "length", F.explode(F.sequence(F.lit(0), number - 1)).alias("win_idx"))
+        .select("seq_id", "length", F.col("win_idx").cast("long").alias("win_idx"), (F.col("win_idx") * size + 1).cast("long").alias("start"), (F.col("win_idx") * size + size).cast("long").alias("end"))
     )
 
 
-def kmer_totals(tiles_: DataFrame, k: int) -> DataFrame:
-    """tiles with total (k-mers without n) and singles (those that occur once in the window); one hash aggregate by k-mer, one by window."""
-    hits = tiles_.select("seq_id", "win_idx", F.explode(dna.kmers(F.col("window"), k)).alias("kmer")).where(~F.col("kmer").contains("n"))
-    counts = hits.groupBy("seq_id", "win_idx", "kmer").agg(F.count(F.lit(1)).alias("c"))
-    sums = counts.groupBy("seq_id", "win_idx").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("singles"))
-    kept = tiles_.select("seq_id", "win_idx", "length", "start", "end").join(sums, ["seq_id", "win_idx"], "left")
-    return kept.withColumns({"total": F.coalesce("total", F.lit(0)), "singles": F.coalesce("singles", F.lit(0))})
+def kmer_totals(sequences: DataFrame, size: int, k: int) -> DataFrame:
+    """The tiles with total (k-mers without n) and singles (those that occur once in the window).
+
+    A window's k-mers concern it alone, so they are counted in one pass over each sequence and no k-mer is ever a row."""
+    kind = sequences.schema["seq_id"].dataType.simpleString()
+    names = ["seq_id", "length", "win_idx", "start", "end", "total", "singles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column(1)):
+                text = text.as_py()
+                total, singles = scan.window_totals(text, size, k)
+                at = np.arange(len(total))
+                if len(at):
+                    own = b.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
+                    yield pa.RecordBatch.from_arrays([own, *map(pa.array, (np.full(len(at), len(text)), at, at * size + 1, at * size + size, total, singles))], names=names)
+
+    return sequences.where(F.col("length") >= size).select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, length long, win_idx long, start long, end long, total long, singles long")
 
 
 def singleton_score(totals: DataFrame, k: int) -> DataFrame:

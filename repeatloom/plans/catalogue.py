@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repeatloom.config import Config
 from repeatloom.functions import dna
-from repeatloom.operators import arrays, intervals, period, units, windows
+from repeatloom.operators import arrays, extract, intervals, period, units, windows
 from repeatloom.plans import annotate, arrays_plan
 from repeatloom.sources import fasta, sinks
 
@@ -69,11 +69,11 @@ def unit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("name")).distinct().withColumn("seq", dna.from_text(F.col("name")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("name")).distinct().withColumn("seq", dna.from_text(F.col("name"))).withColumn("place", F.col("name"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.singleton_score(windows.kmer_totals(windows.tiles(sequences(spark, sf_dir), W), K), K)
+    return windows.singleton_score(windows.kmer_totals(sequences(spark, sf_dir), W, K), K)
 
 
 def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def tumbling_windows(spark, sf_dir):
 
 @query("WITH " + _TOTALS + " SELECT seq_id, win_idx, total, singles FROM totals")
 def kmer_counts(spark, sf_dir):
-    return windows.kmer_totals(windows.tiles(sequences(spark, sf_dir), W), K).select("seq_id", "win_idx", "total", "singles")
+    return windows.kmer_totals(sequences(spark, sf_dir), W, K).select("seq_id", "win_idx", "total", "singles")
 
 
 @query("WITH " + _TOTALS + " SELECT seq_id, win_idx, round(score, 6) AS score FROM scores")
@@ -146,11 +146,11 @@ def region_coverage_pct(spark, sf_dir):
 
 @query("WITH " + _POS + " SELECT seq_id, kmer, count(*) AS n, min(pos) AS first, max(pos) AS last FROM pos GROUP BY ALL HAVING count(*) >= 2")
 def kmer_positions(spark, sf_dir):
-    return period.kmer_counts(period.kmer_positions(sequences(spark, sf_dir), K))
+    return period.kmer_counts(sequences(spark, sf_dir), K)
 
 
 def _distances(spark, sf_dir):
-    return period.distances(period.kmer_positions(sequences(spark, sf_dir), K), 7, 1000)
+    return period.distances(sequences(spark, sf_dir), K, 7, 1000)
 
 
 @query("WITH " + _DIST + " SELECT seq_id, kmer, pos, dist FROM dist")
@@ -185,11 +185,10 @@ def top5_periods(spark, sf_dir):
 
 
 @query("WITH " + _POS + """, kc AS (SELECT seq_id, kmer, count(*) AS n FROM pos GROUP BY ALL HAVING count(*) >= 2),
-t AS (SELECT kc.*, floor(length / 1000.0) + 1 AS need, row_number() OVER (PARTITION BY seq_id ORDER BY n DESC, kmer) AS rk, count(*) OVER (PARTITION BY seq_id) AS total, max(n) OVER (PARTITION BY seq_id) AS most FROM kc JOIN sequences USING (seq_id))
-SELECT seq_id, kmer, n, rk AS rank FROM t WHERE (need <= 2 OR CASE WHEN most >= need THEN n >= need ELSE rk <= ceil(total / 10.0) END) AND rk <= 5000""")
+t AS (SELECT kc.*, floor(count(*) OVER (PARTITION BY seq_id) / 1000.0) + 1 AS need, row_number() OVER (PARTITION BY seq_id ORDER BY n DESC, kmer) AS rk, count(*) OVER (PARTITION BY seq_id) AS total, max(n) OVER (PARTITION BY seq_id) AS most FROM kc)
+SELECT seq_id, kmer, n, rk AS rank FROM t WHERE need <= 2 OR CASE WHEN most >= need THEN n >= need AND rk <= 5000 ELSE rk <= ceil(total / 10.0) END""")
 def frequency_filter_topk(spark, sf_dir):
-    s = sequences(spark, sf_dir)
-    return period.frequent_kmers(period.kmer_counts(period.kmer_positions(s, K)), s)
+    return period.frequent_kmers(period.kmer_counts(sequences(spark, sf_dir), K))
 
 
 @query("WITH " + _UNITS + " SELECT a.unit_id AS a, b.unit_id AS b, CAST(hamming(a.seq, b.seq) AS BIGINT) AS mismatches FROM units a JOIN units b ON a.length = b.length AND a.unit_id < b.unit_id WHERE hamming(a.seq, b.seq) <= 4")
@@ -207,8 +206,8 @@ def levenshtein_gate(spark, sf_dir):
     return units.gated_distances(unit_table(spark, sf_dir), template_table(spark, sf_dir), 0.15)
 
 
-@query("WITH " + _UNITS + ", turns AS (SELECT unit_id, length, CAST(i AS BIGINT) AS i, substr(seq || seq, CAST(i AS BIGINT), length) AS turn FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM units)"
-       " UNION ALL SELECT unit_id, length, CAST(i + length AS BIGINT), substr(rc || rc, CAST(i AS BIGINT), length) FROM (SELECT *, " + _RC.format("seq") + " AS rc, unnest(range(1, length + 1)) AS i FROM units)),"
+@query("WITH " + _UNITS + ", turns AS (SELECT unit_id, length, CAST(i AS BIGINT) AS i, substr(seq || seq, CAST(i + 1 AS BIGINT), length) AS turn FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM units)"
+       " UNION ALL SELECT unit_id, length, CAST(i + length AS BIGINT), " + _RC.format("substr(seq || seq, CAST(i + 1 AS BIGINT), length)") + " FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM units)),"
        " d AS (SELECT unit_id, name, i, levenshtein(turn, t.seq) AS dist, greatest(turns.length, t.length) AS l FROM turns JOIN templates t ON turns.length BETWEEN floor(t.length * 0.85) AND ceil(t.length * 1.15)),"
        " b AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY CAST(dist AS DOUBLE) / l, name, i) AS rk FROM d) SELECT unit_id, name, i AS rotation, round(CAST(dist AS DOUBLE) / l, 6) AS score FROM b WHERE rk = 1")
 def template_best_match(spark, sf_dir):
@@ -248,7 +247,7 @@ nb AS (SELECT *, lead("start") OVER (PARTITION BY seq_id ORDER BY "start", "end"
 
 
 def _hits(spark, sf_dir):
-    p = period.kmer_positions(sequences(spark, sf_dir), K).where(F.col("kmer").like("a%t"))
+    p = period.kmer_positions(sequences(spark, sf_dir), K, begins="a", ends="t")
     return p.select("seq_id", F.col("pos").alias("start"), (F.col("pos") + 9).alias("end"))
 
 
@@ -304,7 +303,8 @@ RANGES = (Config(max_repeat=100), Config(max_repeat=172), Config())
 def split_arrays(spark, sf_dir):
     """Regions of the DNA view, segmented, with period and representative."""
     s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
-    return annotate.find(s, RANGES, annotate.saver(spark))[1]
+    save = annotate.saver(spark)
+    return annotate.find(s, save(extract.pieces(s)), RANGES, save)[1]
 
 
 @query()
@@ -328,4 +328,4 @@ def full_pipeline(spark, sf_dir):
 @query()
 def mapped_repeats(spark, sf_dir):
     out = _annotation(spark, sf_dir)
-    return arrays.with_sequence(out.repeats, out.sequences)
+    return arrays.with_sequence(out.repeats, out.pieces)

@@ -30,10 +30,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unique_names(table: DataFrame) -> DataFrame:
-    """seq_id: a name that occurs once stays; repeated names get 1, 2, ... in order of num_id."""
+    """seq_id: a name that occurs once stays; repeated names get 1, 2, ... in order of num_id (unique). Only names and numbers are
+    shuffled; the rows meet their own by num_id."""
     by = Window.partitionBy("name")
     number = F.row_number().over(by.orderBy("num_id")).cast("string")
-    return table.withColumn("seq_id", F.when(F.count(F.lit(1)).over(by) > 1, F.concat("name", number)).otherwise(F.col("name")))
+    named = table.select("num_id", "name").withColumn("seq_id", F.when(F.count(F.lit(1)).over(by) > 1, F.concat("name", number)).otherwise(F.col("name")))
+    return table.join(named.select("num_id", "seq_id"), "num_id") if set(table.columns) - {"num_id", "name"} else named
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +44,8 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def templates(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq; an empty file is an error."""
-    out = read(spark, path).select("name", "seq")
+    """name, seq, place (in the file); an empty file is an error."""
+    out = read(spark, path).select("name", "seq", F.col("num_id").alias("place"))
     if out.isEmpty():
         raise ValueError(f"no template in {path}")
     return out

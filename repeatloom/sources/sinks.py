@@ -17,8 +17,9 @@ def number(c: Column) -> Column:
     return shortest(c.cast("double"))
 
 
-def csv(rows: DataFrame) -> DataFrame:
-    """line: strings quoted (inner quotes as they are), integers plain, doubles by number(), booleans as "TRUE" and "FALSE"."""
+def csv(rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """line: strings quoted (inner quotes as they are), integers plain, doubles by number(), booleans as "TRUE" and "FALSE".
+    Kept columns follow, named with a _ before."""
     cells = []
     for f in rows.schema:
         c = F.col(f"`{f.name}`")
@@ -30,16 +31,16 @@ def csv(rows: DataFrame) -> DataFrame:
             cells.append(number(c))
         else:
             cells.append(c.cast("string"))
-    return rows.select(F.concat_ws(",", *cells).alias("line"))
+    return rows.select(F.concat_ws(",", *cells).alias("line"), *[F.col(c).alias(f"_{c}") for c in keep])
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One file under path, header first. The tables written here are summaries; larger ones are better kept as Parquet."""
-    head = ",".join(f'"{c}"' for c in rows.columns)
-    body = csv(rows.orderBy(*order)) if order else csv(rows)
-    spark = rows.sparkSession
-    numbered = spark.createDataFrame([(head,)], "line string").unionAll(body)
-    numbered.coalesce(1).write.mode("overwrite").text(path)
+    """One file under path, header first, rows by the order columns (which hold no null). The tables written here are summaries;
+    larger ones are better kept as Parquet."""
+    head = rows.sparkSession.createDataFrame([(",".join(f'"{c}"' for c in rows.columns),)], "line string")
+    lines = csv(rows, order).unionByName(head, allowMissingColumns=True)
+    # sorted within the one task that writes the file: nulls, and so the header, come first
+    lines.repartition(1).sortWithinPartitions(*[F.col(f"_{c}").asc_nulls_first() for c in order]).select("line").write.mode("overwrite").text(path)
 
 
 def gff(rows: DataFrame, *, seqid, source, type_, start, end, score=None, strand=None, phase=None, attributes=()) -> DataFrame:
