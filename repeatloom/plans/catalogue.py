@@ -58,8 +58,14 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few large files are dealt to all cores; a table that is read in enough partitions already is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("seq_id"), dna.from_text(F.col("text")).alias("seq")).withColumn("length", F.length("seq").cast("long"))
 
 
