@@ -47,8 +47,9 @@ from repeatloom.llm import common, graph, vectext
 WORDS, NUM, DEN = 5, 75, 100
 BLOCK, CELL = 128, 400_000  # items of a block, shingles of a block
 OFTEN = 16  # rows an item in the exact comparison before families are looked at
-FLUSH = 500_000  # shingles of a run of sets
-PART = 1_000_000  # shingles of a range
+FLUSH = 400_000  # shingles of a run of sets
+PART = 600_000  # shingles of a range
+TEXT = 400_000  # characters taken up at once
 SHARE, HOTTEST = 128, 100_000  # common: in one of so many sets of some run; at most so many
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -162,7 +163,7 @@ def _members(df: DataFrame, text: str, id: str) -> DataFrame:
 
         for b in batches:
             at, kind = 0, b.schema.field(0).type
-            for block in vectext.blocks(vectext.texts(b.column(1))):
+            for block in vectext.blocks(vectext.texts(b.column(1)), TEXT):
                 flat, bounds, keys = shingles(block)
                 k = keys.view(np.int64)
                 nothing = pa.nulls(len(block), pa.int64())
@@ -244,7 +245,7 @@ def _dealt(df: DataFrame, text: str, parts: int, hot) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush, frequent = TaskContext.get().partitionId() << 32, hot.value
-        blocks = (block for b in batches for block in vectext.blocks(vectext.texts(b.column(0))))
+        blocks = (block for b in batches for block in vectext.blocks(vectext.texts(b.column(0)), TEXT))
         for tokens, keys, sizes in _runs(blocks):
             number = np.repeat(np.arange(len(keys)), sizes)
             head = np.empty(len(keys), _SET)
