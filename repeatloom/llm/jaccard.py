@@ -47,8 +47,8 @@ from repeatloom.llm import common, graph, vectext
 WORDS, NUM, DEN = 5, 75, 100
 BLOCK, CELL = 128, 400_000  # items of a block, shingles of a block
 OFTEN = 16  # rows an item in the exact comparison before families are looked at
-FLUSH = 400_000  # shingles of a run of sets
-PART = 600_000  # shingles of a range
+FLUSH = 600_000  # shingles of a run of sets
+PART = 1_000_000  # shingles of a range
 TEXT = 400_000  # characters taken up at once
 SHARE, HOTTEST = 128, 100_000  # common: in one of so many sets of some run; at most so many
 
