@@ -45,6 +45,11 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return place, place + np.repeat(starts, lens), marks
 
 
+def letters(cps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters at these ascending places; spans that cover the whole text need no look-up."""
+    return cps if len(at) == len(cps) and (not len(at) or at[0] == 0 and at[-1] == len(cps) - 1) else cps[at]
+
+
 class Block:
     """text: the documents' texts end to end; cps: its code points; bounds: each document's start, and the end."""
 
@@ -57,13 +62,12 @@ class Block:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None, heads: tuple[int, ...] = ()):
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None, heads: tuple[int, ...] = (), where=None):
         """64-bit hashes of the spans' code points (a sum of characters times random weights by place); cps stands in for the
-        block's own (say, lower-cased). With heads: a list of these and of the hashes of each span's first so many characters."""
+        block's own (say, lower-cased); where is spread() of the spans, if known. With heads: a list of these and of the hashes of each span's first so many characters."""
         cps, lens = self.cps if cps is None else cps, ends - starts
-        place, at, marks = spread(starts, lens)
-        h = (cps[at].astype(np.uint64) + np.uint64(1)) * _M3
-        del at
+        place, at, marks = where or spread(starts, lens)
+        h = (letters(cps, at).astype(np.uint64) + np.uint64(1)) * _M3
         h ^= h >> np.uint64(29)
         h *= _weights(int(lens.max()) if len(lens) else 0)[place]
         sums = np.zeros(len(h) + 1, np.uint64)
@@ -269,13 +273,17 @@ class Memo:
         else:
             text = cps.tobytes().decode("utf-32-le", "surrogatepass")
         words = lambda i: [text[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist())]
-        uniq, first, inv = np.unique(block.hashes(starts, ends, cps), return_index=True, return_inverse=True)
-        index = self.lookup(uniq, lambda i: words(first[i]))[inv]
         lens = ends - starts
+        where = spread(starts, lens)
+        uniq, first, inv = np.unique(block.hashes(starts, ends, cps, where=where), return_index=True, return_inverse=True)
+        index = self.lookup(uniq, lambda i: words(first[i]))[inv]
         other = np.flatnonzero(self.size[index] != lens)
-        shared = np.minimum(self.size[index], lens)
-        place, at, marks = spread(starts, shared)
-        differ = cps[at] != self.text[place + np.repeat(self.begin[index], shared)]
+        shared = lens
+        if len(other):
+            shared = np.minimum(self.size[index], lens)
+            where = spread(starts, shared)
+        place, at, marks = where
+        differ = letters(cps, at) != self.text[place + np.repeat(self.begin[index], shared)]
         if differ.any():
             other = np.union1d(other, np.searchsorted(marks, np.flatnonzero(differ), side="right") - 1)
         for i, word in zip(other.tolist(), words(other)):

@@ -67,7 +67,7 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
             assert [x[:-1].tolist() for x in packing.document_ids(texts, own)] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
 
     check()
-    monkeypatch.setattr(vectext.Block, "hashes", lambda self, starts, ends, cps=None, heads=(): (ends - starts).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(vectext.Block, "hashes", lambda self, starts, ends, cps=None, heads=(), where=None: (ends - starts).astype(np.uint64) % np.uint64(3))
     check()
 
 
