@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -31,6 +32,8 @@ class Config:
     edge_window: float = 1.2
     edge_hits: float = 0.15
     profile_from: int = 14  # periods from here on use the profile mapper
+    aligner: Callable[[list[str]], list[str]] | None = None  # in place of the star alignment; see functions/external.py
+    mapper: Callable[[str, str], list[tuple]] | None = None  # in place of the built-in profile mapper
 
     @property
     def window(self) -> int:

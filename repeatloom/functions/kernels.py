@@ -247,7 +247,7 @@ def describe_array(seq: str, cfg: Config) -> tuple[float, int, str, str]:
     period = int(np.median(d))
     copies = [seq[s - 1 : s - 1 + w] for s, w in zip(starts.tolist(), d.tolist())]
     copies = [copies[i] for i in even_places(len(copies), cfg.align_sample)]
-    return score, period, text, copies[0] if len(copies) == 1 else consensus(star_alignment(copies), period)
+    return score, period, text, copies[0] if len(copies) == 1 else consensus((cfg.aligner or star_alignment)(copies), period)
 
 
 # --- canonical rotation -------------------------------------------------------------------------------------------
@@ -377,6 +377,10 @@ def map_repeats(unit: str, period: int, text: str, start: int, cfg: Config) -> R
     if period < cfg.profile_from:
         most = -(-len(unit) // 10)
         hits = [(s, s + len(unit), plus, 0.0) for plus, u in ((True, unit), (False, other)) for s in hamming_hits(u, text, most).tolist()]
+    elif cfg.mapper:
+        found = sorted(cfg.mapper(unit, text), key=lambda h: h[0])
+        a, b, plus, score, ev = zip(*found) if found else ([],) * 5
+        return Repeats(np.array(a, np.int64) + start - 1, np.array(b, np.int64) + start - 1, plus, score, ev)
     else:
         hits = [(a, b, plus, float(len(u) - d)) for plus, u in ((True, unit), (False, other)) for a, b, d in profile_hits(u, text)]
     a = np.array([(s, e, p, x) for s, e, p, x in hits], float).reshape(-1, 4)
@@ -468,7 +472,7 @@ def rescore(r: Repeats, unit: str, period: int, text: str, start: int, cfg: Conf
     if len(r) >= cfg.rescore_least:
         some = even_places(len(r), cfg.rescore_sample)
         copies = [part(r.start[i], r.end[i]) if r.plus[i] else reverse_complement(part(r.start[i], r.end[i])) for i in some]
-        unit = consensus(star_alignment(copies), period) or unit
+        unit = consensus((cfg.aligner or star_alignment)(copies), period) or unit
     r = fill_gaps(r, unit, text, start, cfg)
 
     def score(i: int, of: str) -> float:

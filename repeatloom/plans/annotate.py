@@ -71,12 +71,15 @@ def annotate(sequences: DataFrame, cfg: Config = Config(), templates: DataFrame
     log.section("identifying arrays in repetitive regions")
     found = save(found)
     log.count(found, "candidate array")
+    log.program(cfg.aligner)
     log.section("classifying arrays")
     classed = save(ops.classify(ops.canonicalise(found, cfg, templates), cfg, save))
     log.classes(classed)
     log.section("mapping repeats")
     repeats = save(ops.map_arrays(classed, sequences, pieces, cfg, templates))
     log.count(repeats, "repeat")
+    log.program(cfg.mapper)
+    log.program(cfg.aligner)
     return Annotation(regions, found, classed, repeats, summarise(classed, repeats), sequences, pieces)
 
 

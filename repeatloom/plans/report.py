@@ -59,6 +59,13 @@ class Progress:
             n = table.count()
             self.say(f"{n:,} {what}{'' if n == 1 else 's'}")
 
+    def program(self, program) -> None:
+        """Runs of an outside program, where it counts them."""
+        calls = getattr(program, "calls", None)
+        if self.on and calls is not None:
+            n, seconds, longest = calls.value
+            self.say(f"{program.path}: {n:,} runs, {elapsed(seconds)} in all, longest {elapsed(longest)}")
+
     def genome(self, sequences: DataFrame) -> None:
         if self.on:
             n, bases = sequences.agg(F.count(F.lit(1)), F.sum("length")).first()
