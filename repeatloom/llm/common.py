@@ -81,19 +81,27 @@ def tidy(run):
     return task
 
 
+GROUPS = 10_000  # whose counts are broadcast by draw()
+
+
 def draw(rows: DataFrame, rank: Column, n: int, by: str | None = None) -> DataFrame:
     """At most n rows, or n of each group of by: those of least rank, a uniform 64-bit hash.
 
     Groups are counted first, and rows whose hash lies far above what n rows need go where they are read, so what is
-    shuffled is a few times n rows of each group, at any size of the corpus."""
+    shuffled is a few times n rows of each group, at any size of the corpus. The counts are broadcast where there are at most
+    GROUPS; a join by shuffle would send all rows of a group, texts and all, to one task. Rows without a group are left out."""
     fine = 1 << 30
     need = lambda count: F.least(F.lit(fine), F.floor(F.lit(fine * (4.0 * n + 100)) / F.greatest(count, F.lit(1))) + 1)
     near = rows.withColumn("_rank", rank)
     if by is None:
         near = near.where(F.pmod("_rank", F.lit(fine)) < need(F.lit(rows.count())))
     else:
-        counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_count"))  # one row for each group
-        near = near.join(counts, by).where(F.pmod("_rank", F.lit(fine)) < need(F.col("_count"))).drop("_count")
+        near = near.where(F.col(by).isNotNull())
+        counts = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_count"))
+        few = counts.limit(GROUPS + 1).collect()
+        if len(few) <= GROUPS:  # else each task still sends at most n rows of a group, by the window's limit
+            table = rows.sparkSession.createDataFrame(few, counts.schema)
+            near = near.join(F.broadcast(table), by).where(F.pmod("_rank", F.lit(fine)) < need(F.col("_count"))).drop("_count")
     order = Window.partitionBy(*([by] if by else [])).orderBy(F.pmod("_rank", F.lit(fine)), "_rank")
     return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_rank", "_place")
 
