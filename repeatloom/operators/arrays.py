@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def split_regions(regions: DataFrame, sequences: DataFrame, pieces: DataFrame, cfg: Config) -> DataFrame:
-    """The arrays of each region, in sequence coordinates. regions(seq_id, start, end), sequences(seq_id, num_id), pieces of the same."""
+    """The arrays of each region, in sequence coordinates. regions(seq_id, start, end) of a written table, sequences(seq_id, num_id), pieces of the same."""
     own = regions.join(sequences.select("seq_id", "num_id"), "seq_id").select(F.col("seq_id").cast("string"), F.col("num_id").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
     texts = extract.texts(own, pieces, "seq_id", F.col("start"), F.col("end"), "text").select("seq_id", "num_id", "start", "text")
+    texts = extract.dealt(texts, regions.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -55,45 +57,60 @@ def canonicalise(arrays: DataFrame, cfg: Config, templates: DataFrame | None = N
     return joined.select(*[c for c in arrays.columns if c != "representative"], F.coalesce("turned", turn("representative")).alias("representative"), F.coalesce("name", F.lit("")).alias("class")).select(*arrays.columns, "class")
 
 
-def class_edges(rows: DataFrame, cfg: Config) -> DataFrame:
-    """a, b, plus: b may join a seed a, on the strand of the stronger cover (minus where equal). rows(id, seq). Rows meet by k-mer."""
-    k = cfg.class_k
-    t = rows.withColumn("n", F.length("seq"))
-    source = t.select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode(dna.circular_kmers(F.col("seq"), k)).alias("kmer"))
-    both = t.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(dna.circular_kmers(F.col("seq"), k)).alias("kmer"), F.lit(1).alias("fw")).unionByName(
-        t.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(dna.circular_kmers(dna.reverse_complement(F.col("seq")), k)).alias("kmer"), F.lit(0).alias("fw"))
-    ).distinct()
-    fits = F.col("nb").between(F.floor(F.col("na") * (1 - cfg.class_gate)), F.ceil(F.col("na") * (1 + cfg.class_gate)))
-    met = source.join(both, "kmer").where(fits & (F.col("a") != F.col("b")))
-    cover = met.groupBy("a", "b", "na").agg(F.sum("fw").alias("f"), F.sum(1 - F.col("fw")).alias("r"))
-    return cover.where(1 - F.greatest("f", "r") / F.col("na") <= cfg.class_distance).select("a", "b", (F.col("f") > F.col("r")).alias("plus"))
+def class_edges(rows: DataFrame, cfg: Config, save, block: int = 1000) -> DataFrame:
+    """ra, rb, plus with ra <= rb: row rb may join a seed ra, on the strand of the stronger cover (minus where equal). rows(rank, seq).
+
+    Rows lie in blocks by length, and blocks meet whose lengths fit. Each pair of blocks is one row of bounded work, however many
+    units hold the same k-mers, and no k-mer is a row."""
+    place = F.row_number().over(Window.orderBy(F.length("seq"), "rank")) - 1  # one row for each distinct unit: few
+    packed = rows.withColumn("block", F.floor(place / block)).groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "seq"))).alias("rows"), F.min(F.length("seq")).alias("least"), F.max(F.length("seq")).alias("most")
+    )
+    packed = save(packed.select("block", "least", "most", F.col("rows.rank").alias("ranks"), F.col("rows.seq").alias("seqs")))
+    a, b = (packed.select(*[F.col(c).alias(x + c) for c in packed.columns]) for x in "ab")
+    meet = (F.col("bmost") >= F.floor(F.col("aleast") * (1 - cfg.class_gate))) & (F.col("bleast") <= F.ceil(F.col("amost") * (1 + cfg.class_gate)))
+    pairs = save(a.select("ablock", "aleast", "amost").join(F.broadcast(b.select("bblock", "bleast", "bmost")), meet).select("ablock", "bblock"))  # a row for a thousand units
+    t = pairs.join(a, "ablock").join(b, "bblock").select("aranks", "aseqs", "branks", "bseqs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(batch.num_rows):
+                ra, a, rb, b = (c[x].as_py() for c in batch.columns)
+                i, j, plus = kernels.cover_pairs(a, b, cfg.class_k, cfg.class_gate, cfg.class_distance)
+                ra, rb = np.array(ra, np.int64)[i], np.array(rb, np.int64)[j]
+                use = ra <= rb
+                yield pa.RecordBatch.from_arrays([pa.array(ra[use]), pa.array(rb[use]), pa.array(plus[use])], names=["ra", "rb", "plus"])
+
+    return extract.dealt(t, 100 * pairs.count()).mapInArrow(run, "ra long, rb long, plus boolean")
 
 
 def greedy_classes(rows: DataFrame, cfg: Config, save) -> DataFrame:
     """id, class, plus. Seeds are taken by importance; each takes all later rows that may join it and that no earlier seed took.
 
     As sets: a row is a seed when no earlier row that could take it is a seed. In each round a row looks at the earliest such row
-    that is not known to be a member: none left makes it a seed, a seed takes it, anything else waits. rows(id, seq, importance);
-    save(df) writes a table and reads it back, which ends each round's lineage."""
+    that is not known to be a member: none left makes it a seed, a seed takes it, anything else waits. Rows of one text follow the
+    first of them: to its seed, or to itself if it is one. rows(id, seq, importance); save(df) writes a table and reads it back,
+    which ends each round's lineage."""
     order = Window.orderBy(F.col("importance").desc(), "id")
-    ranked = save(rows.withColumn("rank", F.row_number().over(order)).select("id", "seq", "rank"))  # one row for each array: few
-    e = class_edges(ranked.select("id", "seq"), cfg)
-    r = ranked.select("id", "rank")
-    edges = save(
-        e.join(r.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(r.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b").where("ra < rb").select("ra", "rb", "plus")
-    )
+    ranked = save(rows.withColumn("rank", F.row_number().over(order).cast("long")).select("id", "seq", "rank"))  # one row for each array: few
+    r = save(ranked.groupBy("seq").agg(F.min("rank").alias("rank")))
+    all_edges = save(class_edges(r.select("rank", "seq"), cfg, save))
+    edges = all_edges.where("ra < rb")
     state = save(r.select("rank", F.lit(None).cast("long").alias("seed"), F.lit(True).alias("plus")))
     while True:
         known = state.select(F.col("rank").alias("ra"), F.col("seed").alias("seed_of_a"))
         open_ = edges.join(known, "ra").where(F.col("seed_of_a").isNull() | (F.col("seed_of_a") == F.col("ra")))
         first = open_.groupBy(F.col("rb").alias("rank")).agg(F.min(F.struct("ra", F.col("seed_of_a").isNotNull().alias("is_seed"), "plus")).alias("m"))
         t = state.join(first, "rank", "left")
-        seed = F.when(F.col("seed").isNotNull(), F.col("seed")).when(F.col("m").isNull(), F.col("rank").cast("long")).when(F.col("m.is_seed"), F.col("m.ra").cast("long"))
+        seed = F.when(F.col("seed").isNotNull(), F.col("seed")).when(F.col("m").isNull(), F.col("rank")).when(F.col("m.is_seed"), F.col("m.ra"))
         new = save(t.select("rank", seed.alias("seed"), F.when(F.col("seed").isNull() & F.col("m.is_seed"), F.col("m.plus")).otherwise(F.col("plus")).alias("plus")))
         state = new
         if state.where("seed is null").isEmpty():
             break
-    names = ranked.join(state.select("rank", "seed", "plus"), "rank")
+    itself = all_edges.where("ra = rb").select(F.col("ra").alias("first"), F.col("plus").alias("plus_itself"))
+    placed = r.join(state, "rank").withColumnRenamed("rank", "first").join(itself, "first", "left")
+    plus = F.when((F.col("rank") != F.col("first")) & (F.col("first") == F.col("seed")), F.col("plus_itself")).otherwise(F.col("plus"))
+    names = ranked.join(placed, "seq").select("id", "seq", "rank", "seed", plus.alias("plus"))
     number = F.row_number().over(Window.orderBy("rank"))
     seeds = names.where("rank = seed").select(F.col("seed"), F.concat_ws("_", F.length("seq").cast("string"), number.cast("string")).alias("class"), F.col("seq").alias("seed_seq"))
     return names.join(seeds, "seed").select("id", "class", "plus", "seed_seq")
@@ -101,7 +118,7 @@ def greedy_classes(rows: DataFrame, cfg: Config, save) -> DataFrame:
 
 def classify(arrays: DataFrame, cfg: Config, save, template_names: list[str] = ()) -> DataFrame:
     """CLASS_ARRAYS: arrays numbered by sequence and start; rows without a representative have class none_identified."""
-    rows = save(arrays.withColumn("id", F.xxhash64("seqID", "start", "end")))
+    rows = save(arrays.withColumn("id", F.struct(F.xxhash64("seqID", "start", "end").alias("hash"), "seqID", "start", "end", "top_N")))  # arrays of two scales can have the same bounds
     todo = rows.where("representative != '' and class = ''")
     value = (F.col("end") - F.col("start")) * F.when(F.col("score") == 0, 1.0).otherwise(F.col("score"))
     found = greedy_classes(todo.select("id", F.col("representative").alias("seq"), value.alias("importance")), cfg, save)
@@ -115,7 +132,7 @@ def classify(arrays: DataFrame, cfg: Config, save, template_names: list[str] = (
     t = rows.join(found, "id", "left")
     t = t.withColumn("representative", F.when(F.col("new").isNotNull(), turn(F.coalesce("seed_seq", F.lit("")), own)).otherwise(F.col("representative")))
     t = t.withColumn("class", F.coalesce("new", F.when(F.col("representative") == "", "none_identified").otherwise(F.col("class"))))
-    return t.withColumn("array_num_ID", F.row_number().over(Window.orderBy("seqID", "start", "end")).cast("long")).select(*columns(CLASS_ARRAYS))
+    return t.withColumn("array_num_ID", F.row_number().over(Window.orderBy("seqID", "start", "end", "top_N")).cast("long")).select(*columns(CLASS_ARRAYS))
 
 
 def map_arrays(arrays: DataFrame, sequences: DataFrame, pieces: DataFrame, cfg: Config, templates: DataFrame | None = None) -> DataFrame:
@@ -130,6 +147,7 @@ def map_arrays(arrays: DataFrame, sequences: DataFrame, pieces: DataFrame, cfg:
     else:
         t = t.join(templates.select(F.col("name").alias("class"), F.col("seq").alias("template")), "class", "left").withColumn("template", F.coalesce("template", F.lit("")))
     t = t.select("seqID", "array_num_ID", "start", "end", "class", "representative", "top_N", "template", "offset", "context")
+    t = extract.dealt(t, arrays.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

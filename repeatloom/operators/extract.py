@@ -26,6 +26,13 @@ def pieces(sequences: DataFrame) -> DataFrame:
     return sequences.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, piece long, text string")
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df's rows (so many) dealt to tasks of a few hundred each, and to all cores if there are fewer: short texts take long in a
+    kernel, so their bytes are no measure, by which Spark would put them into one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(rows, max(4 * cores, -(-rows // 400)), 20_000)))
+
+
 def texts(intervals: DataFrame, cut: DataFrame, seq_id: str, start: Column, end: Column, name: str) -> DataFrame:
     """intervals with their text, 1-based and inclusive, as column name; cut is pieces(). Intervals are rows of a written table or
     otherwise the same when read again; those of an unknown sequence get null. Only columns of simple types are carried."""
