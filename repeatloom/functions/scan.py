@@ -24,12 +24,21 @@ def kmer_ids(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     bits = max(1, int(used.sum() - 1).bit_length())
     ids = np.zeros(n, np.uint64)
     width = 0
-    for j in range(k):
-        if width + bits > 40:  # renumber, so that ids stay small
-            ids = np.unique(ids, return_inverse=True)[1].astype(np.uint64)
-            width = int(ids.max()).bit_length()
-        ids = (ids << np.uint64(bits)) | small[j : j + n]
-        width += bits
+    if bits * k <= 40:  # by words of 1, 2, 4, ... letters, those of which k is the sum
+        word, size, at = small, 1, 0
+        while size <= k:
+            if k & size:
+                ids = (ids << np.uint64(bits * size)) | word[at : at + n]
+                at += size
+            word = (word[: len(word) - size] << np.uint64(bits * size)) | word[size:]
+            size *= 2
+    else:
+        for j in range(k):
+            if width + bits > 40:  # renumber, so that ids stay small
+                ids = np.unique(ids, return_inverse=True)[1].astype(np.uint64)
+                width = int(ids.max()).bit_length()
+            ids = (ids << np.uint64(bits)) | small[j : j + n]
+            width += bits
     bad = np.concatenate([[0], np.cumsum(letters == ord("n"))])
     return ids.astype(np.int64), bad[k : k + n] == bad[:n]
 
@@ -55,15 +64,14 @@ def window_totals(text: str, size: int, k: int) -> tuple[np.ndarray, np.ndarray]
         ids, clear = kmer_ids(codes(text[first * size : (first + own) * size]), k)
         at = np.arange(len(ids))
         use = clear & (at % size < size - k)  # within one window, and not its last
-        window, kmer = at[use] // size, ids[use]
-        order = np.lexsort((kmer, window))
-        window, kmer = window[order], kmer[order]
-        if not len(window):
+        if not use.any():
             continue
-        head = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (kmer[1:] != kmer[:-1])]))
-        count = np.diff(np.append(head, len(window)))
+        width = int(ids.max()).bit_length()  # 42 at most, and a window's number has 21 at most
+        both = np.sort((at[use] // size) << width | ids[use])
+        new = np.concatenate([[True], both[1:] != both[:-1], [True]])
+        window = both >> width
         total[first : first + own] = np.bincount(window, minlength=own)
-        single[first : first + own] = np.bincount(window[head], count == 1, own)
+        single[first : first + own] = np.bincount(window[new[1:] & new[:-1]], minlength=own)
     return total, single
 
 

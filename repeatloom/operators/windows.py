@@ -34,13 +34,25 @@ def kmer_totals(sequences: DataFrame, size: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            done: list[tuple] = []
+
+            def flush() -> pa.RecordBatch:
+                which, length, at, total, singles = map(np.concatenate, zip(*done))
+                done.clear()
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), *map(pa.array, (length, at, at * size + 1, at * size + size, total, singles))], names=names)
+
+            held = 0
             for i, text in enumerate(b.column(1)):
                 text = text.as_py()
                 total, singles = scan.window_totals(text, size, k)
-                at = np.arange(len(total))
-                if len(at):
-                    own = b.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                    yield pa.RecordBatch.from_arrays([own, *map(pa.array, (np.full(len(at), len(text)), at, at * size + 1, at * size + size, total, singles))], names=names)
+                if n := len(total):
+                    done.append((np.full(n, i), np.full(n, len(text)), np.arange(n), total, singles))
+                    held += n
+                if held >= 10_000:  # a batch for each short text would take longer than its windows
+                    yield flush()
+                    held = 0
+            if done:
+                yield flush()
 
     return sequences.where(F.col("length") >= size).select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, length long, win_idx long, start long, end long, total long, singles long")
 
@@ -56,11 +68,11 @@ def regions(scores: DataFrame, size: int, low: float) -> DataFrame:
 
     A repetitive window reaches one window past its own end (the last one to the sequence's end), so windows merge when at
     most one lies between them. The score is folded in order: each step weighs the region so far against the next window
-    by their reach."""
+    by their reach. The last window follows from the length, so only repetitive windows are shuffled."""
     by = Window.partitionBy("seq_id").orderBy("win_idx")
-    last = F.max("win_idx").over(Window.partitionBy("seq_id"))
+    last = F.greatest(F.lit(1), F.ceil((F.col("length") - size) / F.lit(size))) - 1
     hits = (
-        scores.withColumn("last", last).where(F.col("score") < low)
+        scores.where(F.col("score") < low).withColumn("last", last)
         .withColumn("reach", F.when(F.col("win_idx") == F.col("last"), F.col("length")).otherwise(F.least(F.col("start") + 2 * size - 1, F.col("length"))))
         .withColumn("new", F.coalesce((F.col("win_idx") - F.lag("win_idx").over(by) > 2).cast("int"), F.lit(0)))
         .withColumn("island", F.sum("new").over(by))

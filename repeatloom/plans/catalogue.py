@@ -296,8 +296,14 @@ def csv_lines(spark, sf_dir):
     return sinks.csv(region_table(spark, sf_dir).select("start", "end", F.col("seq_id").cast("string").alias("seq_id"), "windows"))
 
 
+def _written(spark, sf_dir, save) -> DataFrame:
+    """The DNA view as a table: each step reads it, none makes it again."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return save(dna.view(docs, "doc_id", "text").withColumns({"length": F.length("seq").cast("long"), "num_id": F.col("seq_id")}))
+
+
 def _annotation(spark, sf_dir):
-    s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
+    s = _written(spark, sf_dir, annotate.saver(spark))
     return annotate.annotate(s, RANGES[-1], shorter=RANGES[:-1])
 
 
@@ -308,8 +314,8 @@ RANGES = (Config(max_repeat=100), Config(max_repeat=172), Config())
 @query()
 def split_arrays(spark, sf_dir):
     """Regions of the DNA view, segmented, with period and representative."""
-    s = sequences(spark, sf_dir).withColumn("num_id", F.col("seq_id"))
     save = annotate.saver(spark)
+    s = _written(spark, sf_dir, save)
     return annotate.find(s, save(extract.pieces(s)), RANGES, save)[1]
 
 
