@@ -26,10 +26,12 @@ def kmer_ids(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     width = 0
     if bits * k <= 40:  # by words of 1, 2, 4, ... letters, those of which k is the sum
         word, size, at = small, 1, 0
-        while size <= k:
+        while True:
             if k & size:
                 ids = (ids << np.uint64(bits * size)) | word[at : at + n]
                 at += size
+            if 2 * size > k:
+                break
             word = (word[: len(word) - size] << np.uint64(bits * size)) | word[size:]
             size *= 2
     else:
