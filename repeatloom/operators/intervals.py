@@ -6,28 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def beside(rows: DataFrame, by: str = "seq_id") -> DataFrame:
+    """rows(start, end) with before (end of the interval before), after (start of the next one; null for the last) and mean_width of
+    the sequence. What has these columns already (period.kmer_intervals: found in one pass, without a sort) is returned as it is."""
+    if {"before", "after", "mean_width"} <= set(rows.columns):
+        return rows
+    order, every = Window.partitionBy(by).orderBy("start", "end"), Window.partitionBy(by)
+    width = F.avg(F.col("end") - F.col("start") + 1).over(every)
+    return rows.withColumns({"before": F.lag("end").over(order), "after": F.lead("start").over(order), "mean_width": width})
+
+
 def neighbours(rows: DataFrame, by: str = "seq_id") -> DataFrame:
     """overlap and gap (both at least 0) to the next interval of the sequence; null for the last."""
-    order = Window.partitionBy(by).orderBy("start", "end")
-    after = F.lead("start").over(order)
-    return rows.withColumns({"overlap": F.greatest(F.lit(0), F.col("end") - after + 1), "gap": F.greatest(F.lit(0), after - F.col("end") - 1), "after": after})
+    t, after = beside(rows, by), F.col("after")
+    return t.withColumns({"overlap": F.when(after.isNotNull(), F.greatest(F.lit(0), F.col("end") - after + 1)), "gap": F.when(after.isNotNull(), F.greatest(F.lit(0), after - F.col("end") - 1))})
 
 
 def gap_candidates(rows: DataFrame, share: float = 0.5, by: str = "seq_id") -> DataFrame:
     """Gaps whose length is within share of the sequence's mean interval width (rounded half to even)."""
-    every = Window.partitionBy(by)
-    t = neighbours(rows, by).withColumn("mean_width", F.rint(F.avg(F.col("end") - F.col("start") + 1).over(every)))
+    t = neighbours(rows, by).withColumn("mean_width", F.rint("mean_width"))
     low, high = F.floor(F.col("mean_width") * (1 - share)), F.ceil(F.col("mean_width") * (1 + share))
     return t.where((F.col("gap") >= low) & (F.col("gap") <= high)).select(by, (F.col("end") + 1).alias("start"), (F.col("after") - 1).alias("end"))
 
 
 def edge_flags(rows: DataFrame, by: str = "seq_id") -> DataFrame:
     """left_edge, right_edge: the first and last interval, and those beside a distance above the mean width."""
-    order = Window.partitionBy(by).orderBy("start", "end")
-    every = Window.partitionBy(by)
-    t = rows.withColumn("mean_width", F.avg(F.col("end") - F.col("start") + 1).over(every))
-    before, after = F.col("start") - F.lag("end").over(order), F.lead("start").over(order) - F.col("end")
-    return t.withColumns({"left_edge": F.coalesce(before > F.col("mean_width"), F.lit(True)), "right_edge": F.coalesce(after > F.col("mean_width"), F.lit(True))})
+    before, after = F.col("start") - F.col("before"), F.col("after") - F.col("end")
+    return beside(rows, by).withColumns({"left_edge": F.coalesce(before > F.col("mean_width"), F.lit(True)), "right_edge": F.coalesce(after > F.col("mean_width"), F.lit(True))})
 
 
 def importance(rows: DataFrame) -> DataFrame:

@@ -25,11 +25,24 @@ def each(sequences: DataFrame, names: list[str], types: list[str], rows) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            done: list[list] = []
+
+            def flush() -> pa.RecordBatch:
+                cols = [np.concatenate(c) if isinstance(c[0], np.ndarray) else pa.concat_arrays(c) for c in zip(*done)]
+                done.clear()
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=["seq_id", *names])
+
+            held = 0
             for i, text in enumerate(b.column(1)):
                 for cols in rows(text.as_py() or ""):
-                    if len(cols[0]):
-                        own = b.column(0).slice(i, 1).take(pa.array(np.zeros(len(cols[0]), np.int64)))
-                        yield pa.RecordBatch.from_arrays([own, *map(pa.array, cols)], names=["seq_id", *names])
+                    if n := len(cols[0]):
+                        done.append([np.full(n, i), *cols])
+                        held += n
+                    if held >= 10_000:  # a batch for each short text would take longer than its rows
+                        yield flush()
+                        held = 0
+            if done:
+                yield flush()
 
     return sequences.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
@@ -47,6 +60,34 @@ def kmer_positions(sequences: DataFrame, k: int, begins: str = "", ends: str = "
     return each(sequences, ["kmer", "pos"], ["string", "long"], rows)
 
 
+def kmer_intervals(sequences: DataFrame, k: int, begins: str = "", ends: str = "") -> DataFrame:
+    """seq_id, start, end of kmer_positions, with before, after and mean_width (intervals.beside). A piece's places are put in order
+    within it and the last one waits for the next piece, so nothing is shuffled or sorted and a task holds one piece."""
+
+    def rows(text: str):
+        held, before = np.zeros(0, np.int64), -1
+        for a, at, _, part in scan.kmer_places(text, k):
+            raw = scan.codes(part)
+            for j, c in [*enumerate(begins), *((k - len(ends) + j, c) for j, c in enumerate(ends))]:
+                at = at[raw[at + j] == ord(c)]
+            if len(at):
+                start = np.append(held, a + np.sort(at) + 1)
+                yield columns(start[:-1], start[1:], before)
+                if len(start) > 1:
+                    before = int(start[-2]) + k - 1
+                held = start[-1:]
+        if len(held):
+            yield columns(held, None, before)
+
+    def columns(start: np.ndarray, after: np.ndarray | None, before: int) -> list:
+        n = len(start)
+        prior = np.append(before, start[:-1] + k - 1)[:n]
+        nexts = pa.nulls(n, pa.int64()) if after is None else pa.array(after)
+        return [start, start + k - 1, pa.array(prior, mask=prior < 0), nexts, np.full(n, float(k))]
+
+    return each(sequences, ["start", "end", "before", "after", "mean_width"], ["long", "long", "long", "long", "double"], rows)
+
+
 def kmer_counts(sequences: DataFrame, k: int, least: int = 2) -> DataFrame:
     """seq_id, kmer, n, first, last of k-mers that occur often enough. Each piece of a sequence counts its own; only sequences of
     several pieces are summed up in a shuffle."""

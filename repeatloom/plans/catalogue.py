@@ -253,13 +253,12 @@ nb AS (SELECT *, lead("start") OVER (PARTITION BY seq_id ORDER BY "start", "end"
 
 
 def _hits(spark, sf_dir):
-    p = period.kmer_positions(sequences(spark, sf_dir), K, begins="a", ends="t")
-    return p.select("seq_id", F.col("pos").alias("start"), (F.col("pos") + 9).alias("end"))
+    return period.kmer_intervals(sequences(spark, sf_dir), K, begins="a", ends="t")
 
 
 @query("WITH " + _HITS + ' SELECT seq_id, "start", "end", greatest(0, "end" - after + 1) AS overlap, greatest(0, after - "end" - 1) AS gap FROM nb WHERE after IS NOT NULL')
 def neighbour_relations(spark, sf_dir):
-    return intervals.neighbours(_hits(spark, sf_dir)).where("after is not null").drop("after")
+    return intervals.neighbours(_hits(spark, sf_dir)).where("after is not null").drop("before", "after", "mean_width")
 
 
 @query("WITH " + _HITS + ' SELECT seq_id, "end" + 1 AS "start", after - 1 AS "end" FROM nb WHERE after IS NOT NULL AND greatest(0, after - "end" - 1) BETWEEN floor(round_even(mw, 0) * 0.5) AND ceil(round_even(mw, 0) * 1.5)')
@@ -269,7 +268,7 @@ def gap_fill_candidates(spark, sf_dir):
 
 @query("WITH " + _HITS + ' SELECT seq_id, "start", "end", coalesce("start" - before > mw, true) AS left_edge, coalesce(after - "end" > mw, true) AS right_edge FROM nb')
 def edge_flags(spark, sf_dir):
-    return intervals.edge_flags(_hits(spark, sf_dir)).drop("mean_width")
+    return intervals.edge_flags(_hits(spark, sf_dir)).drop("before", "after", "mean_width")
 
 
 @query("SELECT o_orderkey, count(l_quantity) AS repeats_number, CAST(coalesce(ceil(quantile_cont(l_quantity, 0.5)), 0) AS BIGINT) AS median_width, CAST(coalesce(ceil(quantile_cont(l_extendedprice, 0.5)), -1) AS BIGINT) AS median_score FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")

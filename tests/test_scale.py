@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from repeatloom.config import CLASS_ARRAYS, Config
 from repeatloom.functions import kernels as K
-from repeatloom.operators import arrays, extract
+from repeatloom.functions import scan
+from repeatloom.operators import arrays, extract, intervals, period
 from repeatloom.plans import annotate
 
 
@@ -102,3 +103,38 @@ def test_edit_rows():
         for free in (False, True):
             assert K.edit_row(K._codes(a), K._codes(b), free).tolist() == slow_row(a, b, free)
     assert K._columns(list(b"acgt" * 40), list(b"acgt" * 41))[0][-1] == 4
+
+
+def test_neighbours_in_one_pass(spark, monkeypatch):
+    """edge_flags, neighbour_relations and gap_fill_candidates: no shuffle and no sort, and what windows give for the same intervals."""
+    rng = random.Random(12)
+    texts = [(i, dna(rng, n, letters)) for i, (n, letters) in enumerate([(0, "a"), (11, "a"), (700, "acgtn"), (900, "at"), (30, "gc"), (2500, "acgt"), (5, "a")])]
+    s = spark.createDataFrame([*texts, (99, "a" * 9 + "t" + "g" * 40 + "c" * 700 + "a" * 9 + "tg")], "seq_id long, seq string")
+    for places in (scan.kmer_places, in_small_pieces):
+        monkeypatch.setattr(scan, "kmer_places", places)
+        known = period.kmer_intervals(s, 10, "a", "t")
+        plain = known.select("seq_id", "start", "end")
+        assert plain.count() > 100
+        for of in (intervals.edge_flags, intervals.neighbours, intervals.gap_candidates):
+            got, want = of(known), of(plain)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def in_small_pieces(text, k):
+    for a, part in scan.pieces(text, 64, k):
+        ids, clear = scan.kmer_ids(scan.codes(part), k)
+        at = np.flatnonzero(clear)
+        order = np.argsort(ids[at], kind="stable")
+        yield a, at[order], ids[at][order], part
+
+
+def test_kmer_ids_of_short_texts():
+    rng = random.Random(3)
+    for n in range(45):
+        for k in (1, 2, 3, 4, 7, 10, 12):
+            text = dna(rng, n, "acg")
+            ids = scan.kmer_ids(scan.codes(text), k)[0].tolist()
+            words = [text[i : i + k] for i in range(n - k)]
+            assert len(ids) == len(words) and len(set(ids)) == len(set(words)) == len(set(zip(ids, words)))
